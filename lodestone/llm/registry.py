@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
-
-_ALL = {"op1_decontaminate": (decontaminate.op1_decontaminate, decontaminate.ORACLE)}
+from . import decontaminate, embeddings, minhash, sharding, warc
+
+_ALL = {
+    "op1_decontaminate": (decontaminate.op1_decontaminate, decontaminate.ORACLE),
+    "op5_warc_round_trip": (warc.op5_warc_round_trip, warc.ORACLE),
+    "op6_sample_splitter_sharding": (sharding.op6_sample_splitter_sharding, sharding.ORACLE),
+    "op7_product_quantised_near_dedup": (embeddings.op7_product_quantised_near_dedup, embeddings.ORACLE),
+    "op10_minhash_near_dedup": (minhash.op10_minhash_near_dedup, minhash.ORACLE),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
