@@ -51,3 +51,16 @@ def fold(id_col: str, modulus: int) -> Column:
 def input_partitions(df: DataFrame, least: int = 8) -> int:
     """A partition count in proportion to the session's setting."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def range_of(bounds: list[int], key: Column) -> Column:
+    """The number of sorted ``bounds`` that are at most ``key``, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    held = F.expr("array(" + ",".join(f"{b}L" if b > -(1 << 63) else "CAST('-9223372036854775808' AS BIGINT)" for b in bounds) + ")")
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, step: F.when(F.coalesce(F.get(held, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at),
+    )

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, minhash, sharding, warc
+from . import decontaminate, embeddings, language, language_model, licenses, minhash, packing, sharding, toxicity, warc
 
 _ALL = {
     "op1_decontaminate": (decontaminate.op1_decontaminate, decontaminate.ORACLE),
+    "op2_deleted_interpolation": (language_model.op2_deleted_interpolation, language_model.ORACLE),
+    "op3_hilbert_packing": (packing.op3_hilbert_packing, None),
+    "op4_license_scan": (licenses.op4_license_scan, licenses.ORACLE),
     "op5_warc_round_trip": (warc.op5_warc_round_trip, warc.ORACLE),
     "op6_sample_splitter_sharding": (sharding.op6_sample_splitter_sharding, sharding.ORACLE),
     "op7_product_quantised_near_dedup": (embeddings.op7_product_quantised_near_dedup, embeddings.ORACLE),
+    "op8_factorization_machine_toxicity": (toxicity.op8_factorization_machine_toxicity, None),
+    "op9_subword_language_id": (language.op9_subword_language_id, None),
     "op10_minhash_near_dedup": (minhash.op10_minhash_near_dedup, minhash.ORACLE),
 }
 

@@ -13,10 +13,10 @@ equal in id and text are neighbours, in any order; an empty table has no rows; n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import range_of, table, text_bytes
 
 #: Ranges that are aimed at for each shard, and drawn keys for each range.
 RANGES, DRAWS = 16, 16
@@ -25,25 +25,9 @@ OVERFULL = 2.0
 _LOW = 20
 
 
-def _range_of(bounds: list[int]) -> Column:
-    """The number of bounds that are at most the key, by binary search."""
-    steps, n = [], 1
-    while n <= len(bounds):
-        steps.append(n)
-        n *= 2
-    if not steps:
-        return F.lit(0)
-    held = F.array(*[F.lit(b) for b in bounds])
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in reversed(steps)]),
-        F.lit(0),
-        lambda at, step: F.when(F.coalesce(F.get(held, at + step - 1) <= F.col("key"), F.lit(False)), at + step).otherwise(at),
-    )
-
-
 def _filled(rows: DataFrame, bounds: list[int]) -> list[tuple[int, int, int, int, int]]:
     """(range, size, rows, least key, largest key) of each range that has rows."""
-    found = rows.groupBy(_range_of(bounds).alias("r")).agg(F.sum("size"), F.count("*"), F.min("key"), F.max("key"))
+    found = rows.groupBy(range_of(bounds, F.col("key")).alias("r")).agg(F.sum("size"), F.count("*"), F.min("key"), F.max("key"))
     return sorted(tuple(x) for x in found.collect())
 
 
@@ -87,7 +71,7 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     for r, size, count, _, _ in filled:
         before.append((r, *at))
         at = [at[0] + size, at[1] + count]
-    placed = rows.withColumn("r", _range_of(bounds))
+    placed = rows.withColumn("r", range_of(bounds, F.col("key")))
     order = Window.partitionBy("r").orderBy("key", "id", "tie")
     base = {k: F.create_map(*[F.lit(v) for r, *x in before for v in (r, x[k])]) if before else F.create_map(F.lit(0), F.lit(0)) for k in (0, 1)}
     placed = placed.withColumns({"past": F.sum("size").over(order) - F.col("size"), "row": F.row_number().over(order) - 1})
