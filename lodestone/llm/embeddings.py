@@ -213,6 +213,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     # A list's vectors are dealt over as many blocks as it needs.
     sizes = index.groupBy("label", "list").agg(F.count("*").alias("c"))
     dealt = index.join(sizes, ["label", "list"]).withColumn("part", F.pmod(F.xxhash64("row"), F.ceil(F.col("c") / BLOCK)).cast("int")).drop("c")
+    dealt = dealt.repartition("label", "list", "part")  # else a list would meet in one task, as the join dealt it
     blocks = table(dealt.groupBy("label", "list", "part").applyInPandas(_blocks(sent, dim, radius), _BLOCK), "blocks")
     # A pair of blocks is met once: where either probes the other's list, from the smaller one's side.
     x = blocks.select("label", *[F.col(c).alias("x" + c) for c in ("list", "part", "probes")])
