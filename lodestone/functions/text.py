@@ -30,6 +30,16 @@ def collapse(c: Column) -> Column:
     return trim(F.regexp_replace(text(c), f"[{SPACE}]+", " "))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; within a lambda, a plain expression is computed for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def neighbours(xs: Column, sep: str = "") -> Column:
+    """Each element joined with the next."""
+    return let(xs, lambda r: F.zip_with(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), lambda a, b: F.concat_ws(sep, a, b)))
+
+
 def characters(c: Column) -> Column:
     return F.filter(F.split(c, ""), lambda x: x != "")
 
@@ -41,8 +51,7 @@ def tokenize(c: Column | str) -> Column:
     """
     low = F.lower(text(c))
     rest = characters(F.regexp_replace(low, f"[a-z0-9_{SPACE}]+", ""))
-    pairs = F.transform(F.slice(rest, 2, F.greatest(F.size(rest) - 1, F.lit(0))), lambda x, i: F.concat(F.get(rest, i), x))
-    return F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)), pairs)
+    return F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)), neighbours(rest))
 
 
 def normalize_term(c: Column) -> Column:

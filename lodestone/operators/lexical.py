@@ -76,6 +76,6 @@ def substring_route(turns: DataFrame, needle: str, limit: int = 200) -> DataFram
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", tie: str = "doc") -> DataFrame:
-    """The k best of each query, with their rank from 0."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), tie))
+    """The k best of each query, with their rank from 0. Scores that agree to nine places are equal, as sums depend on their order."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), tie))
     return scored.withColumn("rank", rank - 1).where(F.col("rank") < k)

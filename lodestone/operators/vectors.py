@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Vectors in a block of the blocked join.
 BLOCK = 1024
@@ -25,13 +26,13 @@ def cosine(a: Column, b: Column, guard: float = 1e-9) -> Column:
     return F.when(n > 0, dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + guard)).otherwise(0.0)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def blob_to_vector(blobs: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats; a torn tail is dropped."""
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4", len(b) // 4).tolist())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def vector_to_blob(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
