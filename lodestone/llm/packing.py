@@ -15,7 +15,11 @@ one; equal keys go by row number; an empty table has no pieces.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,39 +35,84 @@ CAPACITY, END = 4096, 2
 DIMS, AXES, ORDER, TIE = 4096, 4, 10, 22
 #: Tokens of a range that are aimed at, and ranges at most; a range is streamed, so its size isn't bounded by memory.
 RANGE_TOKENS, RANGES = 4_000_000, 4096
-#: Words whose tokens a worker remembers, and bytes of one at most.
-REMEMBERED, WORD_BYTES = 300_000, 64
+#: Words, and pieces of words, whose tokens a worker remembers, and bytes of one at most.
+REMEMBERED, WORD_BYTES = 700_000, 64
+
+
+# How a word vocabulary normalises and splits texts. White space always parts tokens there.
+_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same split for lower-cased Latin-1 without white space and controls, where normalising changes nothing else.
+_LATIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters that byte-level vocabularies have for bytes: printable ones stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Encoder:
-    """Token ids of texts by a public tokenizer that never joins what white space parts."""
+    """Token ids of texts by a public tokenizer.
 
-    def __init__(self, path: str) -> None:
-        import os
+    Where white space always parts tokens, words are encoded once and remembered, and plain
+    words are cut into pieces that are remembered too; other tokenizers get whole texts.
+    """
 
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        shape = json.loads(self.tokenizer.to_str())
+        normal, split = shape["normalizer"] or {}, (shape["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_word = [n["type"] for n in normal.get("normalizers", [])] == _NORMALIZER and [p["type"] for p in split] == ["Split", "ByteLevel"] and split[0]["pattern"] == {"Regex": _SPLIT}
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.characters = _byte_characters()
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.characters)
+            found = array("H", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+            if len(piece) <= WORD_BYTES:
+                self.pieces[piece] = found
+        return found
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, np.uint16).tobytes() for w, e in zip(words, found)}
+        out, rest = {}, []
+        piece = self._piece
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if _LATIN.fullmatch(text) and "<|" not in text:
+                out[w] = b"".join(map(piece, _PIECES.findall(text.lower())))
+            else:
+                rest.append(w)
+        return out | dict(zip(rest, self._whole(rest)))
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [array("H", e.ids).tobytes() for e in found]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian 16-bit numbers."""
+        end = array("H", [END]).tobytes()
+        if not self.by_word:
+            return [ids + end for ids in self._whole(texts)]
         cut = [t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        for held in (self.known, self.pieces):
+            if len(held) > REMEMBERED:
+                held.clear()
         known = self.known
         missing = list(set().union(*cut).difference(known)) if cut else []
         long = self._learn([w for w in missing if len(w) > WORD_BYTES])
         known.update(self._learn([w for w in missing if len(w) <= WORD_BYTES]))
         get = (known | long).__getitem__ if long else known.__getitem__
-        end = np.array([END], np.uint16).tobytes()
         return [b"".join(map(get, ws)) + end for ws in cut]
 
 

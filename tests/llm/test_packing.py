@@ -16,7 +16,7 @@ def tokenizer():
 
 def test_words_encode_like_texts(tokenizer):
     r = random.Random(3)
-    pool = list("abz Z\n\t.,!'9 é́ 　ẞßΣ記\U0001f600\x00\x1c\x85") + [" ", " ", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "İ", "\r\n"]
+    pool = list("abz Z\n\t.,!'9 é́ 　ẞßΣ記\U0001f600\x00\x1c\x85") + [" ", " ", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "İ", "\r\n", "½", "²", "ª", "\xad", "\xa0", "×", "Àé", "don'T", "x1", "Straße"]
     texts = ["".join(r.choice(pool) for _ in range(r.randrange(80))) for _ in range(600)] + ["", "x" * 500, "Héllo wörld's  end"]
     got = P.Encoder(P.tokenizer_path()).encode([t.encode() for t in texts])
     for text, ids in zip(texts, got):
