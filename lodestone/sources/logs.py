@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,10 +26,13 @@ def frames(data: bytes, last: int | None = None) -> Iterator[bytes]:
     """The content of each frame that can be read, of the last ones if a number is given; torn frames are passed over."""
     offsets = frame_offsets(data)
     for at in offsets if last is None else offsets[-last:]:
+        inflater = zstandard.ZstdDecompressor().decompressobj()
         try:
-            yield zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data[at:]), read_across_frames=False).read()
+            content = inflater.decompress(data[at:])
         except zstandard.ZstdError:
             continue
+        if inflater.eof:
+            yield content
 
 
 def lines(data: bytes, tail_frames: int | None = None, tail_bytes: int | None = None) -> list[str]:
