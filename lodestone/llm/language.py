@@ -25,7 +25,7 @@ from . import tokens
 from .common import fold, session, text_bytes
 
 #: Texts that the model is fitted on at most.
-SAMPLE = 2_000
+SAMPLE, PARTS = 2_000, 64
 BUCKETS, SIZE, LEAST = 1 << 16, 12, 0.5
 _SPREAD = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)]
 
@@ -135,9 +135,12 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """A model fitted on at most ``sample`` texts, as many of each language as it allows."""
     session(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("lang"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("__id"), "__id"))
-    # Spark cuts each language's rows to the first ``sample`` before it shuffles them.
-    taken = known.withColumn("nth", nth).where(F.col("nth") <= sample).orderBy("nth", "lang").limit(sample).groupBy("__id").agg(F.min("lang").alias("lang"))
+    # A language's ids are dealt over PARTS parts, each of which gives a bounded number, so the last ranking is of bounded size too.
+    mark = F.xxhash64("__id")
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(mark, "__id"))
+    dealt = known.withColumn("part", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(PARTS)))
+    some = dealt.withColumn("nth", nth("lang", "part")).where(F.col("nth") <= max(1, sample * 4 // PARTS)).select("__id", "lang")
+    taken = some.withColumn("nth", nth("lang")).where(F.col("nth") <= sample).orderBy("nth", "lang").limit(sample).groupBy("__id").agg(F.min("lang").alias("lang"))
     own = docs.select(F.col(id_col).alias("__id"), text_bytes(text_col).alias("text")).join(F.broadcast(taken), "__id").dropDuplicates(["__id"]).select("__id", "lang", "text")
     found = own.orderBy("__id").select("lang", "text").mapInArrow(_gather, "lang string, buckets binary, counts binary").toArrow()
     rows = [(np.frombuffer(b, np.int32), np.frombuffer(c, np.int32)) for b, c in zip(found.column("buckets").to_pylist(), found.column("counts").to_pylist())]
