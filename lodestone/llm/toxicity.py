@@ -25,8 +25,8 @@ from . import tokens
 from .common import fold, session, text_bytes
 
 #: Labelled rows that the machine is fitted on at most.
-SAMPLE = 12_000
-BUCKETS, FACTORS, STEM, TERMS, G_LEAST = 1 << 18, 8, 5, 8_192, 24.0
+SAMPLE = 16_000
+BUCKETS, FACTORS, STEM, TERMS, G_LEAST = 1 << 18, 8, 5, 8_192, 12.0
 
 
 def terms(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ class Machine:
         order = np.argsort(-g, kind="stable")[:TERMS]
         return np.sort(order[g[order] >= G_LEAST])
 
-    def _fit(self, rows: list[np.ndarray], y: np.ndarray, seed: int, epochs: int = 25, batch: int = 128, rate: float = 0.15, shrink: float = 2e-5) -> None:
+    def _fit(self, rows: list[np.ndarray], y: np.ndarray, seed: int, epochs: int = 50, batch: int = 128, rate: float = 0.15, shrink: float = 2e-5) -> None:
         rng = np.random.default_rng(seed + 1)
         square_w, square_v, square_b = np.full(len(self.weight), 1e-3), np.full(self.factor.shape, 1e-3), 1e-3
         for _ in range(epochs):
