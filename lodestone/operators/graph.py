@@ -16,7 +16,7 @@ from lodestone.operators.vectors import similar_pairs
 
 DAMPING, ITERATIONS, THRESHOLD, NEIGHBOURS = 0.85, 50, 0.62, 8
 #: Rounds between two writes of the ranks.
-CUT_EVERY = 10
+CUT_EVERY = 5
 
 
 def undirected(pairs: DataFrame) -> DataFrame:
@@ -41,15 +41,14 @@ def _rank(nodes: DataFrame, edges: DataFrame, teleport: DataFrame, *, damping: f
     base = nodes.join(teleport, "id", "left").select("id", F.coalesce("t", F.lit(0.0)).alias("t"))
     base = base.join(arcs.select(F.col("src").alias("id"), F.lit(True).alias("linked")).distinct(), "id", "left")
     base = table(base.select("id", "t", F.coalesce("linked", F.lit(False)).alias("linked")), "ranked-nodes")
-    ranks = base.select("id", "t", "linked", F.col("t").alias("rank"))
+    # Nodes without edges get nothing but teleports, so what they lose is a recurrence of one number.
+    own = float(base.where("NOT linked").agg(F.sum("t")).first()[0] or 0.0) if dangling else 0.0
+    ranks, lost = base.select("id", "t", F.col("t").alias("rank")), own
     for i in range(iterations):
         sent = arcs.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = base.join(sent, "id", "left")
-        rank = (1 - damping) * F.col("t") + damping * F.coalesce("got", F.lit(0.0))
-        if dangling:
-            lost = ranks.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-            new, rank = new.crossJoin(F.broadcast(lost)), rank + damping * F.col("lost") * F.col("t")
-        ranks = new.select("id", "t", "linked", rank.alias("rank"))
+        rank = (1 - damping) * F.col("t") + damping * F.coalesce("got", F.lit(0.0)) + damping * lost * F.col("t")
+        ranks = base.join(sent, "id", "left").select("id", "t", rank.alias("rank"))
+        lost = own * ((1 - damping) + damping * lost)
         if (i + 1) % CUT_EVERY == 0:
             ranks = table(ranks, "ranks")
     return ranks.select("id", "rank")

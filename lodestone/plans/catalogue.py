@@ -639,15 +639,15 @@ def contains_terms(spark, sf_dir):
 
 @query()
 def turn_recall(spark, sf_dir):
-    turns = td.turns(spark, sf_dir)
-    terms, flat = td.triples(spark, sf_dir)
-    found = recall.recall(recall.Store(turns, terms=terms, triples=flat), _QUESTION)
+    turns = table(td.turns(spark, sf_dir), "turns")
+    terms, flat = (table(x, "terms") for x in td.triples(spark, sf_dir))
+    found = recall.recall(recall.Store(turns, postings=table(recall.build_postings(turns), "postings"), terms=terms, triples=flat), _QUESTION)
     return found.select("session_id", "turn_index", "position", "score", "score_kind")
 
 
 @query()
 def recall_packed(spark, sf_dir):
-    found = recall.recall(recall.Store(td.turns(spark, sf_dir)), _QUESTION).withColumn("query_id", F.lit(0))
+    found = recall.recall(recall.Store(table(td.turns(spark, sf_dir), "turns")), _QUESTION).withColumn("query_id", F.lit(0))
     return injection.assemble(found).select("session_id", "turn_index", "included", "number", "block")
 
 
