@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import fold, session, text_bytes
+from .common import fitted, fold, session, text_bytes
 
 #: Texts that the model is fitted on at most.
 SAMPLE, PARTS = 2_000, 64
@@ -122,13 +122,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buckets, counts = [], []
-        for lo, hi, buf, offsets in tokens.slices(batch.column(1)):
+        for lo, hi, buf, offsets in tokens.slices(batch.column(2)):
             parts = list(subwords(buf, offsets))
             for k in range(hi - lo):
                 b, c = np.unique(np.concatenate([x[f[k] : f[k + 1]] for x, f in parts]), return_counts=True)
                 buckets.append(b.astype(np.int32).tobytes())
                 counts.append(c.astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "buckets", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())], names=["__id", "lang", "buckets", "counts"])
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
@@ -142,9 +142,12 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     some = dealt.withColumn("nth", nth("lang", "part")).where(F.col("nth") <= max(1, sample * 4 // PARTS)).select("__id", "lang")
     taken = some.withColumn("nth", nth("lang")).where(F.col("nth") <= sample).orderBy("nth", "lang").limit(sample).groupBy("__id").agg(F.min("lang").alias("lang"))
     own = docs.select(F.col(id_col).alias("__id"), text_bytes(text_col).alias("text")).join(F.broadcast(taken), "__id").dropDuplicates(["__id"]).select("__id", "lang", "text")
-    found = own.orderBy("__id").select("lang", "text").mapInArrow(_gather, "lang string, buckets binary, counts binary").toArrow()
-    rows = [(np.frombuffer(b, np.int32), np.frombuffer(c, np.int32)) for b, c in zip(found.column("buckets").to_pylist(), found.column("counts").to_pylist())]
-    return Model(rows, found.column("lang").to_pylist())
+    kind = docs.schema[id_col].dataType.simpleString()
+    return fitted(own.mapInArrow(_gather, f"__id {kind}, lang string, buckets binary, counts binary"), _build)
+
+
+def _build(langs: list[str], buckets: list[bytes], counts: list[bytes]) -> Model:
+    return Model([(np.frombuffer(b, np.int32), np.frombuffer(c, np.int32)) for b, c in zip(buckets, counts)], langs)
 
 
 def _predictor(sent):

@@ -36,7 +36,7 @@ DIMS, AXES, ORDER, TIE = 4096, 4, 10, 22
 #: Tokens of a range that are aimed at, and ranges at most; a range is streamed, so its size isn't bounded by memory.
 RANGE_TOKENS, RANGES = 4_000_000, 4096
 #: Words, and pieces of words, whose tokens a worker remembers, and bytes of one at most.
-REMEMBERED, WORD_BYTES = 700_000, 64
+REMEMBERED, WORD_BYTES = 400_000, 64
 
 
 # How a word vocabulary normalises and splits texts. White space always parts tokens there.

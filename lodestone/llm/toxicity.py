@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import fold, session, text_bytes
+from .common import fitted, fold, session, text_bytes
 
 #: Labelled rows that the machine is fitted on at most.
 SAMPLE = 16_000
@@ -113,13 +113,13 @@ class Machine:
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for lo, hi, buf, offsets in tokens.slices(batch.column(1)):
+        for lo, hi, buf, offsets in tokens.slices(batch.column(2)):
             text, bucket = terms(buf, offsets)
             once = np.unique(text * BUCKETS + bucket)
             cut = np.searchsorted(once // BUCKETS, np.arange(hi - lo + 1))
             held = (once % BUCKETS).astype(np.int32)
             rows += [held[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["y", "terms"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["__id", "y", "terms"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Machine:
@@ -128,10 +128,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("y"))
     # At most ``sample`` rows of two numbers, so the broadcast is of a bounded size.
     taken = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    own = docs.select(F.col(id_col).alias("__id"), text_bytes(text_col).alias("text")).join(F.broadcast(taken), "__id").dropDuplicates(["__id"]).select("y", "text")
-    found = own.mapInArrow(_gather, "y int, terms binary").toArrow()
-    rows = [np.frombuffer(b, np.int32) for b in found.column("terms").to_pylist()]
-    return Machine(rows, np.array(found.column("y").to_pylist(), np.int64))
+    own = docs.select(F.col(id_col).alias("__id"), text_bytes(text_col).alias("text")).join(F.broadcast(taken), "__id").dropDuplicates(["__id"]).select("__id", "y", "text")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return fitted(own.mapInArrow(_gather, f"__id {kind}, y int, terms binary"), _build)
+
+
+def _build(y: list[int], terms: list[bytes]) -> Machine:
+    return Machine([np.frombuffer(b, np.int32) for b in terms], np.array(y, np.int64))
 
 
 def _scorer(sent):
