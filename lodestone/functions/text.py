@@ -54,6 +54,13 @@ def tokenize(c: Column | str) -> Column:
     return F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)), neighbours(rest))
 
 
+def token_count(c: Column | str) -> Column:
+    """How many tokens ``tokenize`` gives, without making them."""
+    low = F.lower(text(c))
+    rest = F.length(F.regexp_replace(low, f"[a-z0-9_{SPACE}]+", ""))
+    return F.regexp_count(low, F.lit("[a-z0-9_]+")) + F.greatest(rest - 1, F.lit(0))
+
+
 def normalize_term(c: Column) -> Column:
     return F.lower(collapse(c))
 

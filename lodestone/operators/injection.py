@@ -101,8 +101,8 @@ def eligible_items(items: DataFrame, *, projects: list[str] | None = None, level
 def select_memories(items: DataFrame, query: str, *, projects: list[str] | None = None, levels: list[str] | None = None, k: int = 3) -> DataFrame:
     """The k best items of those a rule allows, by BM25 within them."""
     own = eligible_items(items, projects=projects, levels=levels).withColumn("__text", F.concat_ws(" ", tx.text("content"), tx.text("keywords")))
-    terms = items.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
-    scored = lexical.bm25(lexical.postings(own, "id", "__text"), lexical.corpus_stats(own, "__text"), lexical.query_terms(terms))
+    terms = lexical.query_terms(items.sparkSession.createDataFrame([(0, query)], "query_id int, query string"))
+    scored = lexical.bm25(lexical.postings(own, "id", "__text", terms=terms), lexical.corpus_stats(own, "__text"), terms)
     return lexical.top_k(scored, k).select(F.col("doc").alias("id"), "score", "rank").join(own.drop("__text"), "id")
 
 

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 
 
-def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
-    """(doc, term, tf, len) of every document."""
+def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokens: Column | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf, len) of every document, or of some ``terms`` only, which then are picked before anything is shuffled."""
     found = docs.select(F.col(id_col).alias("doc"), (tx.tokenize(text_col) if tokens is None else tokens).alias("t"))
     # A document's length travels with its terms, so it needs no join later.
-    return found.select("doc", F.explode("t").alias("term"), F.size("t").alias("len")).groupBy("doc", "term", "len").agg(F.count("*").alias("tf")).select("doc", "term", "tf", "len")
+    each = found.select("doc", F.explode("t").alias("term"), F.size("t").alias("len"))
+    if terms is not None:
+        each = each.join(terms.select("term").distinct(), "term", "left_semi")
+    return each.groupBy("doc", "term", "len").agg(F.count("*").alias("tf")).select("doc", "term", "tf", "len")
 
 
 def document_frequency(found: DataFrame) -> DataFrame:
@@ -25,7 +28,7 @@ def document_frequency(found: DataFrame) -> DataFrame:
 
 def corpus_stats(docs: DataFrame, text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """One row (n, avgdl) of all documents, those without terms included."""
-    length = F.size(tx.tokenize(text_col) if tokens is None else tokens)
+    length = tx.token_count(text_col) if tokens is None else F.size(tokens)
     stats = docs.agg(F.count("*").alias("n"), F.sum(length).alias("total"))
     mean = F.coalesce(F.col("total"), F.lit(0)) / F.greatest("n", F.lit(1))
     return stats.select("n", F.when(mean > 0, mean).otherwise(1.0).alias("avgdl"))

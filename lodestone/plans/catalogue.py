@@ -107,7 +107,8 @@ _Q1 = f"SELECT 0 AS query_id, unnest(list_distinct(string_split('{_QUESTION}', '
 @query(f"WITH {_tokens_cte(_DOCS)}, {_POST}, {_bm25_sql(_Q1)} SELECT id AS doc, round(score, 6) AS score FROM sc ORDER BY round(score, 9) DESC, id LIMIT 10")
 def bm25_topk(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    scored = lexical.bm25(lexical.postings(docs), lexical.corpus_stats(docs), lexical.query_terms(_question(spark)))
+    terms = lexical.query_terms(_question(spark))
+    scored = lexical.bm25(lexical.postings(docs, terms=terms), lexical.corpus_stats(docs), terms)
     return lexical.top_k(scored, 10).select("doc", F.round("score", 6).alias("score"))
 
 
@@ -122,7 +123,7 @@ def bm25_fts_topk(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     own = lexical.full_text_tokens("text")
     terms = _question(spark).select("query_id", F.explode(F.array_distinct(lexical.full_text_tokens("query"))).alias("term"))
-    scored = lexical.bm25_full_text(lexical.postings(docs, tokens=own), lexical.corpus_stats(docs, tokens=own), terms)
+    scored = lexical.bm25_full_text(lexical.postings(docs, tokens=own, terms=terms), lexical.corpus_stats(docs, tokens=own), terms)
     return lexical.top_k(scored, 10).select("doc", F.round("score", 6).alias("score"))
 
 
@@ -132,7 +133,8 @@ def _query_set(spark, sf_dir) -> DataFrame:
 
 def _ranked_set(spark, sf_dir, k: int) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    scored = lexical.bm25(lexical.postings(docs), lexical.corpus_stats(docs), lexical.query_terms(_query_set(spark, sf_dir)))
+    terms = lexical.query_terms(_query_set(spark, sf_dir))
+    scored = lexical.bm25(lexical.postings(docs, terms=terms), lexical.corpus_stats(docs), terms)
     return lexical.top_k(scored, k)
 
 
@@ -258,7 +260,8 @@ def graph_neighbours(spark, sf_dir):
 def _routes(spark, sf_dir) -> dict[str, DataFrame]:
     """For each of the first items, documents by BM25 and, as another route, by shared words without weights."""
     docs, asked = _documents(spark, sf_dir), _query_set(spark, sf_dir)
-    found, terms = lexical.postings(docs), lexical.query_terms(asked)
+    terms = lexical.query_terms(asked)
+    found = lexical.postings(docs, terms=terms)
     scored = lexical.bm25(found, lexical.corpus_stats(docs), terms).withColumnRenamed("doc", "id")
     shared = found.join(terms, "term").groupBy("query_id", F.col("doc").alias("id")).agg((F.count("*") / F.first("len")).alias("score"))
     return {"bm25": scored, "vector": shared}

@@ -10,7 +10,10 @@ DAY = 86_400_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # A small file is one split; what follows needs more hands than one. Large tables have splits enough and stay as they are.
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def millis(name: str):
