@@ -1,8 +1,8 @@
 """Shards of near equal size by sampled splitters, with DataFrame functions only.
 
 Each record has a 64-bit key: the high bits from its text's hash, the low bits from its
-id's, so equal texts are neighbours in key order but a group of them, however large, can
-be cut. Keys are drawn with a probability in proportion to the record's size; quantiles
+id's and row's, so equal texts are neighbours in key order but a group of them, even of equal
+ids, can be cut. Keys are drawn with a probability in proportion to the record's size; quantiles
 of the sample bound the ranges; a range that turns out overfull is subdivided. Exact
 sizes of the ranges and running sums within each give every record's place in the total
 order, and so its shard: shards are cut where the running size passes a multiple of total / shards.
@@ -61,9 +61,10 @@ def splitters(rows: DataFrame, shards: int) -> tuple[list[int], list[tuple[int,
 def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16) -> DataFrame:
     """(id, size, crc, shard, slot) of every row; ``size`` is the text's bytes plus one."""
     data = F.coalesce(text_bytes(text_col), F.lit(b""))
-    low = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << _LOW))
+    row = F.monotonically_increasing_id()
+    low = F.pmod(F.xxhash64(F.col(id_col).cast("string"), row), F.lit(1 << _LOW))
     key = F.shiftleft(F.shiftright(F.xxhash64(data), _LOW), _LOW).bitwiseOR(low)
-    slim = docs.select(F.col(id_col).alias("id"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("crc"), key.alias("key"), F.xxhash64(F.col(id_col).cast("string"), data).alias("tie"))
+    slim = docs.select(F.col(id_col).alias("id"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("crc"), key.alias("key"), row.alias("tie"))
     rows = table(slim, "shard-keys")
     bounds, filled = splitters(rows, shards)
     before, at = [], [0, 0]
@@ -74,7 +75,7 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     placed = rows.withColumn("r", range_of(bounds, F.col("key")))
     order = Window.partitionBy("r").orderBy("key", "id", "tie")
     base = {k: F.create_map(*[F.lit(v) for r, *x in before for v in (r, x[k])]) if before else F.create_map(F.lit(0), F.lit(0)) for k in (0, 1)}
-    placed = placed.withColumns({"past": F.sum("size").over(order) - F.col("size"), "row": F.row_number().over(order) - 1})
+    placed = placed.withColumns({"past": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "row": F.row_number().over(order) - 1})
     placed = placed.select("id", "size", "crc", (base[0][F.col("r")] + F.col("past")).alias("past"), (base[1][F.col("r")] + F.col("row")).alias("row"))
     placed = table(placed.withColumn("shard", F.expr(f"CAST(past * {shards} DIV {max(total, 1)} AS INT)")), "shards")
     first = {s: n for s, n in placed.groupBy("shard").agg(F.min("row")).collect()}
