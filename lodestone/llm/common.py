@@ -38,6 +38,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system; workers live on after a task."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fitted(sample: DataFrame, build):
     """``build`` of the rows of a bounded sample, lists by column in order of the first; run in one task, so the driver gets the model alone."""
     import pickle
@@ -49,8 +60,10 @@ def fitted(sample: DataFrame, build):
         own = list(batches)
         held = pa.Table.from_batches(own) if own else None
         columns = held.take(pa.compute.sort_indices(held.column(0))).to_pydict() if held is not None else {}
-        model = build(*[columns.get(n, []) for n in names[1:]])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        own = held = None
+        model = pickle.dumps(build(*[columns.pop(n, []) for n in names[1:]]))
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     names = sample.columns
     found = sample.coalesce(1).mapInArrow(run, "model binary").first()

@@ -29,7 +29,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Bytes that are hashed at once, and a bound of the buffers that go with them.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def _powers(n: int) -> list[np.ndarray]:
