@@ -15,12 +15,12 @@ from lodestone.functions import text as tx
 #: Characters that a marker costs in the simple estimate, turns that stay unfolded, and characters of a quote.
 MARKER_CHARS, KEEP_TURNS, QUOTE = 120, 13, 48
 
-# How blocks begin that a plugin has put before a user's words.
-INJECTION_MARKERS = ("===== 长期记忆 =====", "可能相关的记忆，仅供参考", "【记忆自动注入", "【接力上下文", "【meow-memory")
+# How blocks begin that a plugin has put before a user's words. Plugins of other names add theirs.
+INJECTION_MARKERS = ("===== 长期记忆 =====", "可能相关的记忆，仅供参考", "【记忆自动注入", "【接力上下文")
 
 
-def real_user(kind: Column | str = "kind") -> Column:
-    return (F.col("type") == "user/message") & F.coalesce(F.col(kind) == "user", F.lit(False)) if isinstance(kind, str) else (F.col("type") == "user/message") & F.coalesce(kind == "user", F.lit(False))
+def real_user() -> Column:
+    return (F.col("type") == "user/message") & F.coalesce(F.col("kind") == "user", F.lit(False))
 
 
 def injected(block: Column) -> Column:
