@@ -48,7 +48,7 @@ def facts_route(queries: DataFrame, facts: DataFrame, entries: DataFrame | None
     A fact is passed over where its source has changed since. ``entries`` is (id, updated_at).
     """
     wanted = queries.select("query_id", F.explode(tx.exact_values("query")).alias("x")).select("query_id", tx.normalize_value(F.col("x")).alias("x")).where("x <> ''")
-    own = facts.withColumn("v", tx.normalize_value(F.col("value"))).where("v <> '' AND src <> ''")
+    own = facts.withColumn("v", tx.normalize_value(F.col("value"))).where((F.col("v") != "") & (F.col("src").cast("string") != ""))
     if entries is not None:
         now = entries.select(F.col("id").alias("src"), F.col("updated_at").alias("now"))
         own = own.join(now, "src", "left").where("now IS NULL OR src_updated_at IS NULL OR now = src_updated_at")
