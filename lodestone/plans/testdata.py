@@ -59,13 +59,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(terms, triples): the first words of each turn, one after another, as a chain of terms."""
+    """(terms, triples): all distinct words of each turn, one after another, as a chain of terms."""
     from lodestone.functions import text as tx
     from lodestone.operators import store
 
-    words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("user_text"), F.lit("[a-z]{4,}"), F.lit(0))), 1, 5)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("user_text"), F.lit("[a-z]{4,}"), F.lit(0)))
     rows = turns(spark, sf_dir).select("id", "session_id", words.alias("w"))
-    chain = rows.select(F.col("id").alias("turn_id"), "session_id", F.posexplode(F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.struct(F.get("w", i).alias("s"), x.alias("o")))).alias("source_order", "t"))
+    rest = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", 1, rest), F.slice("w", 2, rest), lambda s, o: F.struct(s.alias("s"), o.alias("o")))
+    chain = rows.select(F.col("id").alias("turn_id"), "session_id", F.posexplode(pairs).alias("source_order", "t"))
     named = chain.select("turn_id", "session_id", "source_order", F.col("t.s").alias("subject"), F.lit("precedes").alias("predicate"), F.col("t.o").alias("object"))
     empty_terms = rows.sparkSession.createDataFrame([], "id string, normalized string, display_text string")
     terms = store.upsert_terms(empty_terms, named.select(F.explode(F.array("subject", "object")).alias("display_text")))
