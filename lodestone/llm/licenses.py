@@ -1,12 +1,14 @@
 """Licence notices in texts: Dice coefficient over word bigrams, with DataFrame functions only.
 
 A text's units, its lines and its paragraphs, are compared to templates by the sets
-of their word bigrams. A Dice coefficient of at least t bounds the sizes, n / m within
+of their word bigrams; then runs of two lines or more, for notices wrapped over lines, where they
+touch no line or paragraph that matches, and no longer than a match can be. Of runs that overlap the best counts. A Dice coefficient of at least t bounds the sizes, n / m within
 t / (2-t) and its inverse, so only templates of such a size are looked at; and it asks for so many
 shared bigrams that a match holds one of a template's anchor words, so units without any are passed over.
 
 Defined results: a null or empty text, or one without a matching unit, has no licence; of
-equally good matches the first template in order wins, then the first unit; a unit of fewer than two words has
+equally good matches the first template in order wins, then the first unit; the unit of a
+run is its first line; a notice inside a longer line isn't one; a unit of fewer than two words has
 no bigrams and matches nothing; repeated rows are scanned one by one.
 """
 
@@ -17,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 LEAST = 0.7
 
 # Notices as their licences word them.
@@ -101,6 +105,47 @@ def _matches(unit: Column, at: Column, templates: dict[str, str], least: float)
     return F.flatten(F.transform(F.array(pairs), found))
 
 
+def _runs(text: Column, matched: Column, anchored, templates: dict[str, str], least: float) -> Column:
+    """The best matches (dice, place, at, name) of runs of lines outside of the units ``matched``, none overlapping another.
+
+    A run has as many words as the largest template's match at most.
+    """
+    most = int(max(len(bigrams_of(v)) for v in templates.values()) * (2 - least) / least + 1e-9) + 1
+    bar = lambda u: F.array_contains(matched, u)
+    parts = F.transform(F.split(text, "\n ?\n"), lambda p: F.when(bar(F.regexp_replace(p, "[ \n]+", " ")), F.regexp_replace(p, "[^\n]+", "|")).otherwise(p))
+    lines = F.transform(F.split(F.array_join(parts, "\n\n"), "\n"), lambda x: F.when(bar(x), F.lit("|")).otherwise(x))
+    numbered = F.flatten(F.transform(lines, lambda x, i: F.transform(F.filter(F.split(x, " "), lambda w: w != ""), lambda w, k: F.struct(w.alias("w"), i.alias("i"), (k == 0).alias("first")))))
+
+    def of(held: Column) -> Column:
+        starts = F.filter(F.transform(held, lambda s, p: F.when(s["first"], p)), lambda p: p.isNotNull())
+        return let(F.struct(F.transform(held, lambda s: s["w"]).alias("ws"), F.concat(starts, F.array(F.size(held))).alias("starts"), held.alias("held")), found)
+
+    def found(own: Column) -> Column:
+        ws, starts = own["ws"], own["starts"]
+        words = lambda p, n: F.array_join(F.slice(ws, p + 1, n), " ")
+        near = F.filter(F.transform(starts, lambda p, k: F.struct(p.alias("p"), k.alias("k"))), lambda s: anchored(words(s["p"], F.lit(most))))
+
+        def grown(s: Column) -> Column:
+            ends = F.filter(F.slice(starts, s["k"] + 3, most), lambda q: q - s["p"] <= most)
+            texts = F.filter(F.transform(ends, lambda q: F.struct(q.alias("q"), words(s["p"], q - s["p"]).alias("u"))), lambda r: ~F.contains(r["u"], F.lit("|")) & anchored(r["u"]))
+            line = F.get(own["held"], s["p"])["i"]
+            best = F.transform(texts, lambda r: F.struct(F.array_max(_matches(r["u"], line, templates, least)).alias("m"), (-s["p"]).alias("p"), (-r["q"]).alias("q")))
+            return F.filter(best, lambda r: r["m"].isNotNull())
+
+        return F.flatten(F.transform(near, grown))
+
+    def apart(runs: Column) -> Column:
+        kind = f"array<struct<m:{_MATCH},p:int,q:int>>"
+        first = F.reverse(F.array_sort(runs))
+        taken = F.aggregate(first, F.array().cast(kind), lambda got, r: F.when(F.exists(got, lambda g: (g["p"] > r["q"]) & (r["p"] > g["q"])), got).otherwise(F.concat(got, F.array(r).cast(kind))).cast(kind))
+        return F.transform(taken, lambda r: r["m"])
+
+    return apart(let(numbered, of))
+
+
+_MATCH = "struct<dice:double,place:int,at:int,name:string>"
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """(id, license, dice, unit, n_matches) of every row: its best licence, the unit it stands in, and how many units match."""
     templates = TEMPLATES if templates is None else templates
@@ -120,8 +165,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     lines, paragraphs = F.split("t", "\n"), F.split("t", "\n ?\n")
     units = F.when(F.size(paragraphs) > 1, F.concat(lines, F.transform(F.filter(paragraphs, lambda p: F.contains(p, F.lit("\n"))), lambda p: F.regexp_replace(p, "[ \n]+", " ")))).otherwise(lines)
     numbered = F.filter(F.transform(units, lambda u, i: F.struct(u.alias("u"), i.alias("i"))), lambda s: anchored(s["u"]))
-    per_unit = F.filter(F.transform(numbered, lambda s: _matches(s["u"], s["i"], templates, least)), lambda m: F.size(m) > 0)
-    rows = rows.select("id", F.when(F.col("t").isNotNull(), per_unit).alias("m"))
+    per_unit = F.filter(F.transform(numbered, lambda s: F.struct(_matches(s["u"], s["i"], templates, least).alias("m"), s["u"].alias("u"))), lambda s: F.size(s["m"]) > 0)
+    rows = rows.select("id", "t", F.when(F.col("t").isNotNull(), per_unit).alias("s"))
+    wrapped = F.transform(_runs(F.col("t"), F.transform("s", lambda s: s["u"]), anchored, templates, least), lambda m: F.array(m))
+    rows = rows.select("id", F.when(F.col("t").isNotNull(), F.concat(F.transform("s", lambda s: s["m"]), wrapped)).alias("m"))
     best = F.array_max(F.flatten("m"))
     rows = rows.select("id", best.alias("b"), F.coalesce(F.size("m"), F.lit(0)).alias("n"))
     return rows.select("id", F.col("b.name").alias("license"), F.col("b.dice").alias("dice"), (-F.col("b.at")).cast("long").alias("unit"), F.greatest("n", F.lit(0)).cast("long").alias("n_matches"))

@@ -36,6 +36,41 @@ def test_brute_force(spark):
     assert L.scan(frame.limit(0)).count() == 0
 
 
+def wrapped(text, columns):
+    import textwrap
+
+    return "\n".join(textwrap.wrap(text, columns))
+
+
+def brute_runs(text):
+    """The best licence over all runs of whole lines, of any length."""
+    lines, best = text.split("\n"), (0, "")
+    for i in range(len(lines)):
+        for j in range(i + 1, len(lines) + 1):
+            own = set(L.bigrams_of(" ".join(lines[i:j])))
+            for name, template in L.TEMPLATES.items():
+                other = set(L.bigrams_of(template))
+                best = max(best, (2 * len(own & other) / (len(own) + len(other)) if own else 0, name))
+    return best if best[0] >= L.LEAST else (None, None)
+
+
+def test_notices_wrapped_over_lines(spark):
+    names = ["ISC", "MIT-permission", "GPL-3.0-header", "CC0-1.0"]
+    notices = [wrapped(L.TEMPLATES[n], 72 if n != "CC0-1.0" else 40) for n in names]
+    texts = [form.format(n) for n in notices for form in ("{}", "Copyright 2021 Example Ltd\n{}\nand more lines\nof other things", "some code\n\n * x\n{}\nend\n\nmore")]
+    texts += ["Released\nunder the MIT\nLicense.", "Licensed under CC BY 4.0\nx\n" + notices[0], notices[0] + "\nx\n" + notices[0], "the license\nof nothing\nat all"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r for r in L.scan(frame).collect()}
+    for k, text in enumerate(texts):
+        dice, name = brute_runs(text)
+        assert got[k]["license"] in (name, "CC-BY-4.0-short"), text
+        # A paragraph that matches is a unit as it is.
+        assert dice is None or abs(got[k]["dice"] - dice) < (1e-12 if "\n\n" not in text else 0.1), text
+    assert [got[k]["license"] for k in range(12)] == [n for n in names for _ in range(3)]
+    assert [got[k]["unit"] for k in range(2)] == [0, 1]
+    assert [got[k]["n_matches"] for k in (0, 1, 12, 13, 14, 15)] == [1, 1, 1, 2, 2, 0]
+
+
 def test_anchors_cover_every_match():
     """Whatever part of a template can match holds an anchor."""
     words = L.anchors(L.TEMPLATES, L.LEAST)
