@@ -7,7 +7,8 @@ of fewer, is a hit; hit words are removed, and a document with too large a share
 of hit words is dropped.
 
 Defined results: a null or empty text has no words and no hits; items without words
-match nothing; items that share an id count once; repeated documents are scanned
+match nothing; items that share an id count once, those of a null id too: they count in ``n_items``, and
+``items_sha256`` passes over them; repeated documents are scanned
 one by one; ties don't arise. Extra columns pass through whatever their names.
 """
 
@@ -33,7 +34,7 @@ BLOCK_WORDS = 2_000_000
 class Automaton:
     """A generalised suffix automaton over the word sequences of ``items``: [(item id, [word, ...]), ...]."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW) -> None:
         self.window = window
         items = [(i, w) for i, w in items if w]
         self.vocabulary = sorted({w for _, ws in items for w in ws})
@@ -47,9 +48,9 @@ class Automaton:
                 last = self._extend(last, w)
         #: For a state, the state of the last ``window`` words, and the items that hold those words.
         self.covering = [self._ancestor(v, window) for v in range(len(self.len))]
-        self.holders: dict[int, set[str]] = {}
+        self.holders: dict[int, set[str | None]] = {}
         #: For a state, (number of words, item) of the short items that its words end with.
-        self.whole: dict[int, set[tuple[int, str]]] = {}
+        self.whole: dict[int, set[tuple[int, str | None]]] = {}
         for item, ws in sequences:
             if len(ws) < window:
                 v = 0
@@ -176,7 +177,7 @@ class Automaton:
 def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
     """Automata that together hold all items; the driver has the items of one block at a time."""
     block, words = [], 0
-    for row in items.select(F.col(id_col).cast("string").alias("i"), text_bytes(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
+    for row in items.select(F.col(id_col).cast("string").alias("i"), text_bytes(text_col).alias("t")).where("t IS NOT NULL").toLocalIterator():
         ws = tokens.words(bytes(row["t"]), tokens.ALNUM)
         if block and words + len(ws) > block_words:
             yield Automaton(block, window)
@@ -254,7 +255,7 @@ def _result(buf, offsets, row, n, starts, ends, hit, items, clean, base) -> dict
             parts.append(text[at:x])
             at = y
         kept = b"".join([*parts, text[at:]])
-    return {"words": n, "hits": hits, "items": sorted(items), "spans": spans, "clean": kept}
+    return {"words": n, "hits": hits, "items": sorted(items, key=lambda i: (i is None, i or "")), "spans": spans, "clean": kept}
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", most_coverage: float = 0.5, **options) -> DataFrame:

@@ -56,6 +56,23 @@ def test_decontaminate_cuts_spans_and_drops_covered(spark):
     assert got[1]["words"] == 7 and got[3]["source"] is None and got[4]["text"] is None
 
 
+@pytest.mark.parametrize("block", [D.BLOCK_WORDS, 10])
+def test_items_of_null_id(spark, tmp_path, block):
+    """They are hit, count as one item and are left out of the hash, as in the query's SQL."""
+    passages = [" ".join(f"{x}{k}" for k in range(12)) for x in "abc"] + ["short one"]
+    docs = spark.createDataFrame([(k, f"{p} and {q} there " + "too " * 30) for k, (p, q) in enumerate(zip(passages, passages[1:] + passages[:1]))] + [(9, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame(list(zip([None, 7, None, None], passages)), "item_id long, text string")
+    got = {r["doc_id"]: (r["hits"], r["items"]) for r in D.match(docs, bench, block_words=block).select("doc.doc_id", "match.hits", "match.items").collect()}
+    assert got == {0: (24, ["7", None]), 1: (24, ["7", None]), 2: (14, [None]), 3: (14, [None]), 9: (0, [])}
+    kept = {r["doc_id"]: r["text"] for r in D.decontaminate(docs, bench, block_words=block).collect()}
+    assert kept[2].startswith(" and  there")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {r["doc_id"]: (r["n_items"], r["items_sha256"]) for r in D.op1_decontaminate(spark, str(tmp_path)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert rows == {0: (2, sha("7")), 1: (2, sha("7")), 2: (1, sha("")), 3: (1, sha("")), 9: (0, sha(""))}
+
+
 def test_no_items_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
