@@ -12,17 +12,18 @@ Lists are cut into blocks of BLOCK vectors, and pairs of blocks are the units of
 a list that holds a third of all vectors is spread over many tasks. A unit returns the number
 of links of each vector and a spanning forest of them, never all pairs.
 
-Centres and codebooks are fitted on a sample of at most SAMPLE vectors; every vector
-is indexed and is a query.
+Vectors of each length have centres, codebooks and lists of their own. These are fitted on a
+sample of at most SAMPLE vectors; every vector is indexed and is a query.
 
-Defined results: labels that are null or differ aren't compared; a vector that is null, zero,
-of another length than most, or has null or non-finite components links with nothing; rows
+Defined results: labels that are null or differ aren't compared, nor are vectors of different lengths; a vector
+that is null, empty, zero, or has null or non-finite components links with nothing; rows
 that repeat a vec_id are vectors of their own, whose links count for that id once each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -195,18 +196,10 @@ def _compare(sent, dim: int, least: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, lists: int | None = None) -> DataFrame:
-    """(id, n_links, component) of every row of ``vectors``."""
-    spark = session(vectors.sparkSession)
-    numbered = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = table(numbered.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    shape = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").first()
-    dim, count = (shape["d"], shape["c"]) if shape and shape["d"] else (1, 0)
-    usable = rows.where(f"label IS NOT NULL AND v IS NOT NULL AND size(v) = {dim}")
-
-    taken = usable.orderBy(F.xxhash64("id", "row")).limit(SAMPLE).select("v").toArrow().column(0).combine_chunks() if count else pa.array([], pa.list_(pa.float64()))
-    sample = _vectors(taken, dim)[1]
-    sent = spark.sparkContext.broadcast(Quantiser(sample, lists or max(1, min(256, int(np.sqrt(count)) // 4))))
+def _links(usable: DataFrame, dim: int, least: float, lists: int) -> DataFrame:
+    """(a, b, n): for vectors of one length, the number of links of row ``a`` where ``b`` is null, else a link of a spanning forest."""
+    taken = usable.orderBy(F.xxhash64("id", "row")).limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
+    sent = usable.sparkSession.sparkContext.broadcast(Quantiser(_vectors(taken, dim)[1], lists))
     radius = float(np.sqrt(2 - 2 * least))
     index = usable.select("row", "label", "v").mapInArrow(_index(sent, dim), "row long, label long, list int, vector binary, code binary, error double")
     index = table(index, "codes")
@@ -229,7 +222,18 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     right = blocks.select("label", F.col("list").alias("ylist"), F.col("part").alias("ypart"), F.col("rows").alias("yrows"), F.col("vectors").alias("yvectors"), F.col("codes").alias("ycodes"), F.col("errors").alias("yerrors"))
     pairs = asked.join(left, ["label", "xlist", "xpart"]).join(right, ["label", "ylist", "ypart"])
     pairs = pairs.select("xrows", "xvectors", "ylist", "yrows", "yvectors", "ycodes", "yerrors", (F.col("xlist").eqNullSafe(F.col("ylist")) & (F.col("xpart") == F.col("ypart"))).alias("same"))
-    found = table(pairs.mapInArrow(_compare(sent, dim, least), "a long, b long, n long"), "links")
+    return table(pairs.mapInArrow(_compare(sent, dim, least), "a long, b long, n long"), "links")
+
+
+def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, lists: int | None = None) -> DataFrame:
+    """(id, n_links, component) of every row of ``vectors``."""
+    spark = session(vectors.sparkSession)
+    numbered = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = table(numbered.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    usable = rows.where("label IS NOT NULL AND size(v) > 0")
+    shapes = usable.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).where("c > 1").orderBy("d").collect()
+    parts = [_links(usable.where(F.size("v") == s["d"]), s["d"], least, lists or max(1, min(256, int(np.sqrt(s["c"])) // 4))) for s in shapes]
+    found = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "a long, b long, n long")
 
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "row")

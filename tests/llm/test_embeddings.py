@@ -58,6 +58,24 @@ def test_hot_list_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, E.near_vectors(frame, lists=3).collect())) == brute(rows, 0.93)
 
 
+def test_each_length_is_linked(spark):
+    """Lengths of fewer vectors too, and whatever the number of empty and unlabelled ones."""
+    r = np.random.default_rng(8)
+    rows = []
+    for dim, n in ((8, 30), (3, 12), (5, 2), (6, 1)):
+        base = r.normal(size=dim)
+        rows += [(100 * dim + k, (base + r.normal(size=dim) * 0.2).astype(np.float32).tolist(), k % 2 if n > 2 else 0) for k in range(n)]
+    rows += [(1000 + k, [], 1) for k in range(50)] + [(1100 + k, [1.0] * 4, None) for k in range(50)] + [(1200, None, 1)]
+    want = []
+    for dim in (8, 3, 5, 6):
+        own = [x for x in rows if x[1] and x[2] is not None and len(x[1]) == dim]
+        want += brute([(i, v + [0.0] * (8 - dim), y) for i, v, y in own], 0.93)
+    want += [(i, 0, i) for i, v, y in rows if not v or y is None]
+    assert sum(n > 0 for i, n, _ in want if i < 800) > 5
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert sorted(map(tuple, E.near_vectors(frame).collect())) == sorted(want)
+
+
 def test_nothing_to_compare(spark):
     frame = spark.createDataFrame([(1, None, 1), (2, [1.0, 0.0], None)], "vec_id long, embedding array<float>, label int")
     assert sorted(map(tuple, E.near_vectors(frame).collect())) == [(1, 0, 1), (2, 0, 2)]
