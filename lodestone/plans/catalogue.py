@@ -622,7 +622,9 @@ def memory_search(spark, sf_dir):
     vs = td.vectors(spark, sf_dir)
     q = vs.where("id = 0").first()["vector"]
     nodes, edges = _graph(spark, sf_dir)
-    known = _facts(spark, sf_dir).withColumn("src", F.col("src").cast("long"))
+    # Facts were taken from the items as they are now.
+    times = own.select(F.col("id").alias("src"), F.col("updated_at").alias("src_updated_at"))
+    known = _facts(spark, sf_dir).withColumn("src", F.col("src").cast("long")).drop("src_updated_at").join(times, "src", "left")
     return memory.search(own, _QUESTION + " v2.3.1", td.NOW, memory.Options(k=10, recency_days=30), vectors=vs, query_vector=q, facts=known, nodes=nodes, edges=edges)
 
 

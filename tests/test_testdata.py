@@ -24,3 +24,8 @@ def test_triples_chain_whole_turns(spark, tmp_path):
     assert edges == {(min(s, o), max(s, o)) for *_, s, o in want}
     bridges = {(r["term"], r["turn"]) for r in store.turns_of_terms(flat, terms).collect()}
     assert len(bridges) == sum(len(ws) for ws in chains.values() if len(ws) > 1)
+
+
+def test_facts_of_items_as_they_are_count_in_memory_search(spark):
+    got = catalogue.memory_search(spark, "/root/testdata/sf0.001").collect()
+    assert any(r["facts"] > 0 for r in got)
