@@ -4,20 +4,42 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Long texts make batches large, so the count is kept low.
-ARROW_ROWS = 256
+#: Rows and bytes of one Arrow batch; a batch ends with the row that passes either.
+ARROW_ROWS, ARROW_BYTES = 256, 1 << 21
 
 
 def session(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches that Python stages of this session receive."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
+def by_batch(run, returns, *inputs: Column) -> Column:
+    """A column that ``run`` computes batch by batch from the Arrow arrays of ``inputs``; other columns stay in the JVM.
+
+    It counts as not deterministic, so no optimizer rule computes it twice.
+    """
+
+    def several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for arrays in batches:
+            yield run(*arrays)
+        release()
+
+    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in batches:
+            yield run(array)
+        release()
+
+    return F.arrow_udf(several if len(inputs) > 1 else one, returnType=returns).asNondeterministic()(*inputs)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of our own only where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,11 +66,22 @@ def release() -> None:
     import gc
 
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
+def tidy(run):
+    """``run`` for mapInArrow, giving memory back when its task ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def fitted(sample: DataFrame, build):
     """``build`` of the rows of a bounded sample, lists by column in order of the first; run in one task, so the driver gets the model alone."""
     import pickle

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import fitted, fold, session, text_bytes
+from .common import by_batch, fitted, fold, session, text_bytes
 
 #: Texts that the model is fitted on at most.
 SAMPLE, PARTS = 2_000, 64
@@ -151,27 +151,23 @@ def _build(langs: list[str], buckets: list[bytes], counts: list[bytes]) -> Model
 
 
 def _predictor(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, scores = [], []
-            for _, _, buf, offsets in tokens.slices(batch.column(1)):
-                lang, p = sent.value.predict(buf, offsets)
-                langs += lang
-                scores.append(p)
-            if langs:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], names=["doc", "lang_pred", "score"])
+    def run(texts: pa.Array) -> pa.Array:
+        langs, scores = [], [np.zeros(0)]
+        for _, _, buf, offsets in tokens.slices(texts):
+            lang, p = sent.value.predict(buf, offsets)
+            langs += lang
+            scores.append(p)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], names=["lang", "score"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """``docs`` as struct ``doc``, with ``lang_pred``, ``score`` and ``rejected``; reads nothing but the text."""
-    spark = session(docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("doc"), text_bytes(text_col).alias("__text"))
-    schema = rows.select("doc", F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    found = rows.mapInArrow(_predictor(spark.sparkContext.broadcast(model)), schema)
+    sent = session(docs.sparkSession).sparkContext.broadcast(model)
+    found = docs.select(F.struct("*").alias("doc"), by_batch(_predictor(sent), "lang string, score double", text_bytes(text_col)).alias("found"))
     letters = F.coalesce(F.col("doc")[text_col].rlike(r"\p{L}"), F.lit(False))
-    found = found.select("doc", F.when(letters, F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(letters, F.col("score")).otherwise(0.0).alias("score"))
+    found = found.select("doc", F.when(letters, F.col("found.lang")).otherwise("und").alias("lang_pred"), F.when(letters, F.col("found.score")).otherwise(0.0).alias("score"))
     return found.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < least))
 
 

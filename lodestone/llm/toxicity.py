@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import fitted, fold, session, text_bytes
+from .common import by_batch, fitted, fold, session, text_bytes
 
 #: Labelled rows that the machine is fitted on at most.
 SAMPLE = 16_000
@@ -138,21 +138,17 @@ def _build(y: list[int], terms: list[bytes]) -> Machine:
 
 
 def _scorer(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sent.value.scores(buf, offsets) for _, _, buf, offsets in tokens.slices(batch.column(1))]
-            if found:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found))], names=["doc", "score"])
+    def run(texts: pa.Array) -> pa.Array:
+        found = [sent.value.scores(buf, offsets) for _, _, buf, offsets in tokens.slices(texts)]
+        return pa.array(np.concatenate(found) if found else np.zeros(0))
 
     return run
 
 
 def score(docs: DataFrame, machine: Machine, *, text_col: str = "text") -> DataFrame:
     """``docs`` as struct ``doc``, and ``score``; reads nothing but the text."""
-    spark = session(docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("doc"), text_bytes(text_col).alias("__text"))
-    schema = rows.select("doc", F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(machine)), schema)
+    sent = session(docs.sparkSession).sparkContext.broadcast(machine)
+    return docs.select(F.struct("*").alias("doc"), by_batch(_scorer(sent), "double", text_bytes(text_col)).alias("score"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, most: float = 0.5, **options) -> DataFrame:

@@ -90,3 +90,31 @@ def test_query(spark):
         n, hits, found = brute(texts[r["doc_id"]], items)
         assert (r["n_words"], r["n_hit"], r["n_items"]) == (n, hits, len(found))
         assert r["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
+
+
+def test_an_item_of_one_word_repeated_builds_in_linear_time():
+    auto = D.Automaton([(1, [b"w"] * 200_000), (2, [b"w"] * 4)])
+    assert len(auto.link) == 200_001 and auto.least == 4
+
+
+def test_a_large_benchmark_is_small():
+    import sys
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    words = [b"%d" % k for k in r.integers(0, 60_000, D.BLOCK_WORDS)]
+    auto = D.Automaton([(k, words[k : k + 100]) for k in range(0, len(words), 100)])
+    arrays = [x for v in vars(auto).values() for x in (v if isinstance(v, tuple) else [v]) if isinstance(x, np.ndarray)]
+    assert sum(a.nbytes for a in arrays) + sum(map(sys.getsizeof, auto.vocabulary)) < 40e6
+
+
+@pytest.mark.parametrize("passes", [1, 2])
+def test_several_passes(spark, monkeypatch, passes):
+    monkeypatch.setattr(D, "PASS", passes)
+    docs, items = cases(5)
+    frame = spark.createDataFrame([(i, t) for i, t in docs], "doc_id long, text string")
+    got = D.match(frame, spark.createDataFrame(items, "item_id long, text string"), block_words=40).select("doc.doc_id", "match.hits", "match.items").collect()
+    want = [(i, *brute(t, items)[1:]) for i, t in docs]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
