@@ -8,7 +8,9 @@ token is left out of its own counts in turn.
 Texts are cut into chunks of about CHUNK tokens, each with its own vocabulary, and only what a chunk holds
 once is exchanged: its words, then its pairs, as sorted hashes with counts, dealt out by hash range.
 A range adds up what all chunks have and sends each chunk its totals in the order asked, so a frequent word is
-one entry a chunk. The chunks lie in a bucketed table, so the totals come to them and they don't move.
+one entry a chunk. At most FAN ranges are dealt to at once; where they are too large for one task, each is merged in blocks
+that then ask finer ranges in the chunks' place, so messages grow with the entries and not with chunks times ranges.
+The chunks lie in a bucketed table, so the totals come to them and they don't move.
 Words are known by 64-bit and pairs by 48-bit hashes. Counts cover every training text.
 
 Defined results: a null or empty text is one end token; repeated rows count, and are scored, each for itself;
@@ -29,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import fold, input_partitions, session, shared_path, table, text_bytes
+from .common import fold, input_partitions, release, session, shared_path, table, text_bytes, tidy
 
-#: Tokens of a chunk, and entries that one task adds up.
-CHUNK, ENTRIES = 1 << 21, 3_000_000
+#: Tokens of a chunk, entries that one task adds up, and ranges that a chunk or block asks.
+CHUNK, ENTRIES, FAN = 1 << 20, 2_000_000, 256
 END = np.uint64(0xE1D0F7E87A1B2C3D)
 _LEVELS, _STEPS = 40, 4
 
@@ -84,7 +86,7 @@ def _chunker(size: int):
         if found:
             yield out()
 
-    return run
+    return tidy(run)
 
 
 class _Chunk:
@@ -120,48 +122,117 @@ class _Chunk:
         return hashes, np.bincount(pair[self.learned], minlength=len(hashes)).astype(np.uint64), pair
 
 
-_ASK = "part long, chunk long, at long, keys binary, counts binary"
-_TELL = "chunk long, at long, totals binary, distinct long, mass long"
+_ASK = "part long, unit long, at long, keys binary, counts binary"
+_TELL = "unit long, at long, totals binary, distinct long, mass long"
+_MERGED = "part long, unit long, units array<long>, ats array<long>, sizes array<long>, index binary, keys binary, counts binary"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def _messages(unit: int, hashes: np.ndarray, counts: np.ndarray, low: int, high: int, first: int, parts: int) -> Iterator[tuple]:
+    """Rows of _ASK: a unit's entries with hashes from ``low`` on and under ``high``, by ``parts`` equal ranges, numbered from ``first``."""
+    cuts = np.searchsorted(hashes, np.array([low + (high - low) * k // parts for k in range(1, parts)], np.uint64))
+    edges = [0, *cuts.tolist(), len(hashes)]
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        if b > a:
+            yield first + k, unit, a, _differences(hashes[a:b]), squeeze(counts[a:b])
 
 
 def _ask(kind: str, bits: int, parts: int):
-    """Rows of a chunk's entries by hash range."""
+    """Messages of the chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 hashes, counts = getattr(_Chunk(row), kind)()[:2]
-                cuts = np.searchsorted(hashes, np.array([(k << bits) // parts for k in range(1, parts)], np.uint64))
-                edges = [0, *cuts.tolist(), len(hashes)]
-                rows = [(k, row["chunk"], a, _differences(hashes[a:b]), squeeze(counts[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "chunk", "at", "keys", "counts"])
+                yield _batch(list(_messages(row["chunk"], hashes, counts, 0, 1 << bits, 0, parts)), _ASK)
 
-    return run
+    return tidy(run)
+
+
+def _ask_finer(bits: int, parts: int, fan: int):
+    """Messages of the blocks of ``parts`` ranges, each cut into ``fan``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, counts, part = _sums(row["keys"]), expand(row["counts"], np.uint64), row["part"]
+                low, high = ((k << bits) // parts for k in (part, part + 1))
+                yield _batch(list(_messages(row["unit"], keys, counts, low, high, part * fan, fan)), _ASK)
+
+    return tidy(run)
 
 
 def _differences(sorted_hashes: np.ndarray) -> bytes:
     return squeeze(np.diff(sorted_hashes, prepend=np.uint64(0)))
 
 
-def _tell(group: pa.Table) -> pa.Table:
-    """Total counts of a hash range, for each chunk in the order it asked."""
-    keys = [np.cumsum(expand(k.as_py(), np.uint64), dtype=np.uint64) for k in group.column("keys")]
-    counts = np.concatenate([expand(c.as_py(), np.uint64) for c in group.column("counts")])
+def _sums(differences: bytes) -> np.ndarray:
+    return np.cumsum(expand(differences, np.uint64), dtype=np.uint64)
+
+
+def _added(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(distinct hashes, their total counts, each entry's place among them, entries by message) of a group of messages."""
+    keys = [_sums(k.as_py()) for k in group.column("keys")]
+    sizes = [len(k) for k in keys]
+    counts = np.concatenate([expand(c.as_py(), np.uint64) for c in group.column("counts")]).astype(np.float64)
     distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.zeros(len(distinct), np.uint64)
-    np.add.at(totals, index.ravel(), counts)
-    own = np.split(totals[index.ravel()], np.cumsum([len(k) for k in keys])[:-1])
-    chunks, ats = group.column("chunk").to_pylist(), group.column("at").to_pylist()
-    n = len(chunks)
-    seen, mass = int((totals > 0).sum()), int(totals.sum())
-    return pa.table([pa.array(chunks, pa.int64()), pa.array(ats, pa.int64()), pa.array([squeeze(t) for t in own], pa.binary()), pa.array([seen] + [0] * (n - 1), pa.int64()), pa.array([mass] + [0] * (n - 1), pa.int64())], names=["chunk", "at", "totals", "distinct", "mass"])
+    index = index.ravel()
+    # Counts are far below 2^53, so these sums are exact.
+    return distinct, np.bincount(index, counts, len(distinct)).astype(np.uint64), index, sizes
+
+
+def _tell(group: pa.Table) -> pa.Table:
+    """Total counts of a hash range, for each message in its order."""
+    _, totals, index, sizes = _added(group)
+    own = np.split(totals[index], np.cumsum(sizes)[:-1])
+    units, ats = group.column("unit").to_pylist(), group.column("at").to_pylist()
+    first = [(int((totals > 0).sum()), int(totals.sum()))] + [(0, 0)] * (len(units) - 1)
+    out = pa.Table.from_batches([_batch([(u, a, squeeze(t), *f) for u, a, t, f in zip(units, ats, own, first)], _TELL)])
+    release()
+    return out
+
+
+def _merge(group: pa.Table) -> pa.Table:
+    """A block's messages as one unit, and how its entries came together."""
+    distinct, totals, index, sizes = _added(group)
+    row = [group.column(c)[0].as_py() for c in ("part", "block_unit")] + [group.column(c).to_pylist() for c in ("unit", "at")]
+    out = pa.Table.from_batches([_batch([(*row, sizes, squeeze(index.astype(np.uint32)), _differences(distinct), squeeze(totals))], _MERGED)])
+    release()
+    return out
+
+
+def _pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a block was told, for each message that it was merged from."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            totals = _totals(row["told"]).astype(np.uint64)
+            own = np.split(totals[expand(row["index"], np.uint32)], np.cumsum(row["sizes"])[:-1])
+            first = [(row["distinct"], row["mass"])] + [(0, 0)] * (len(own) - 1)
+            yield _batch([(u, a, squeeze(t), *f) for u, a, t, f in zip(row["units"], row["ats"], own, first)], _TELL)
+
+
+def _exchange(chunks: DataFrame, kind: str, bits: int, entries: int, most: int, fan: int) -> DataFrame:
+    """The total training counts of each chunk's words or pairs; ``entries`` is how many the chunks have together."""
+    parts = min(fan, max(input_partitions(chunks), -(-entries // most)))
+    return table(_answers(chunks.mapInArrow(_ask(kind, bits, parts), _ASK), kind, bits, parts, entries, most, fan), f"{kind}-counts")
 
 
-def _exchange(chunks: DataFrame, kind: str, bits: int, entries: int) -> DataFrame:
-    """The total training counts of each chunk's words or pairs."""
-    parts = max(input_partitions(chunks), -(-entries // ENTRIES))
-    asked = chunks.mapInArrow(_ask(kind, bits, parts), _ASK)
-    return table(asked.groupBy("part").applyInArrow(_tell, _TELL), f"{kind}-counts")
+def _answers(asked: DataFrame, kind: str, bits: int, parts: int, entries: int, most: int, fan: int) -> DataFrame:
+    if entries <= parts * most:
+        return asked.groupBy("part").applyInArrow(_tell, _TELL)
+    blocks = -(-entries // (parts * most))
+    dealt = asked.withColumn("block_unit", F.col("part") * blocks + F.pmod(F.xxhash64("unit"), F.lit(blocks)))
+    merged = table(dealt.groupBy("part", "block_unit").applyInArrow(_merge, _MERGED), f"{kind}-merged")
+    # Merging only ever makes fewer entries of them.
+    told = _answers(merged.mapInArrow(_ask_finer(bits, parts, fan), _ASK), kind, bits, parts * fan, entries, most, fan)
+    told = told.groupBy("unit").agg(F.collect_list(F.struct("at", "totals")).alias("told"), F.sum("distinct").alias("distinct"), F.sum("mass").alias("mass"))
+    back = merged.join(told, "unit").select("units", "ats", "sizes", "index", "told", "distinct", "mass")
+    return back.mapInArrow(tidy(_pass_on), _TELL)
 
 
 def _level(count: np.ndarray) -> np.ndarray:
@@ -203,7 +274,7 @@ def _cells(total: float):
                 sums = [np.bincount(index, w, len(cell)) for w in (np.ones(len(index)), p2, p1)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell // 1024**2, cell // 1024 % 1024, cell % 1024, *sums)], names=["level", "q2", "q1", "n", "s2", "s1"])
 
-    return run
+    return tidy(run)
 
 
 def weights(cells: list[tuple[int, float, float, float]], uniform: float, rounds: int = 60) -> np.ndarray:
@@ -240,10 +311,10 @@ def _score(total: float, distinct: float, lam: np.ndarray):
                 ids = batch.column(batch.schema.get_field_index("ids"))[k].values
                 yield pa.RecordBatch.from_arrays([ids, pa.array(~c.train), pa.array(c.lengths), *(pa.array(x) for x in sums)], names=["id", "held_out", "n_tokens", "score", "base_score", "n_known"])
 
-    return run
+    return tidy(run)
 
 
-def score(docs: DataFrame, learn, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, learn, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, most: int = ENTRIES, fan: int = FAN) -> DataFrame:
     """(id, held_out, n_tokens, score, base_score, n_known, train_tokens) of every row; rows where ``learn`` holds teach the counts."""
     spark = session(docs.sparkSession)
     kind = docs.schema[id_col].dataType
@@ -256,13 +327,13 @@ def score(docs: DataFrame, learn, *, id_col: str = "doc_id", text_col: str = "te
     spark.sql(f"DROP TABLE {name}")  # the files stay; the frame knows its buckets
 
     entries = int(chunks.agg(F.sum(F.octet_length("vocabulary") / 8)).first()[0] or 0)
-    words = _exchange(chunks, "words", 64, entries)
+    words = _exchange(chunks, "words", 64, entries, most, fan)
     volume = words.agg(F.sum("distinct"), F.sum("mass")).first()
     distinct, total = int(volume[0] or 0), int(volume[1] or 0)
-    pairs = _exchange(chunks, "pairs", 48, max(total, entries))
+    pairs = _exchange(chunks, "pairs", 48, max(total, entries), most, fan)
 
     def told(counts: DataFrame, as_: str) -> DataFrame:
-        return counts.groupBy("chunk").agg(F.collect_list(F.struct("at", "totals")).alias(as_))
+        return counts.groupBy(F.col("unit").alias("chunk")).agg(F.collect_list(F.struct("at", "totals")).alias(as_))
 
     counted = chunks.join(told(words, "words"), "chunk").join(told(pairs, "pairs"), "chunk")
     cells = counted.mapInArrow(_cells(total), _CELL).groupBy("level", "q2", "q1").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1"))

@@ -15,6 +15,27 @@ def tokens_of(text):
     return [*re.findall("[^\x20\x09-\x0d]+", folded), None]
 
 
+def mixture(cells, uniform, rounds=60):
+    """{level: (pair, word, uniform)} by expectation-maximisation, cell by cell in plain Python."""
+
+    def learned(own, lam):
+        for _ in range(rounds):
+            sums = [0.0, 0.0, 0.0]
+            for _, n, p2, p1 in own:
+                parts = [l * p for l, p in zip(lam, (p2, p1, uniform))]
+                for k in range(3):
+                    sums[k] += n * parts[k] / sum(parts)
+            sums = [max(s, 1e-9) for s in sums]
+            lam = [max(s / sum(sums), 1e-7) for s in sums]
+        return [l / sum(lam) for l in lam]
+
+    pooled = learned(cells, [1 / 3] * 3)
+    out = {level: learned([c for c in cells if c[0] == level], pooled) for level in {c[0] for c in cells}}
+    never = out.get(0, pooled)
+    out[0] = [0.0, never[1] / (never[1] + never[2]), never[2] / (never[1] + never[2])]
+    return lambda level: out.get(level, pooled)
+
+
 def brute(docs, learn):
     """{row: (n, known, base, score)} with counts by hand and weights by events one by one."""
     word, pair, context = Counter(), Counter(), Counter()
@@ -32,16 +53,16 @@ def brute(docs, learn):
     for (v, w), c in pair.items():
         p2 = (c - 1) / (context[v] - 1) if context[v] > 1 else 0.0
         p1 = (word[w] - 1) / max(total - 1, 1)
-        q = tuple(-1 if p <= 0 else round(-math.log2(p) * L._STEPS) for p in (p2, p1))
+        q = tuple(-1 if p <= 0 else round(-math.log2(p) * 4) for p in (p2, p1))
         n, s2, s1 = events.get((level(context[v] - 1), *q), (0, 0.0, 0.0))
         events[level(context[v] - 1), *q] = n + c, s2 + c * p2, s1 + c * p1
-    lam = L.weights(sorted((k[0], n, s2 / n, s1 / n) for k, (n, s2, s1) in events.items()), uniform)
+    lam = mixture([(k[0], n, s2 / n, s1 / n) for k, (n, s2, s1) in events.items()], uniform)
     out = []
     for i, text in docs:
         ts = tokens_of(text)
         score = base = 0.0
         for before, t in zip([None, *ts], ts):
-            own = lam[level(context[before])]
+            own = lam(level(context[before]))
             p = own[0] * pair[before, t] / max(context[before], 1) + own[1] * word[t] / max(total, 1) + own[2] * uniform
             score += math.log10(p)
             base += math.log10((word[t] + 1) / (total + distinct + 1))
@@ -49,13 +70,13 @@ def brute(docs, learn):
     return out
 
 
-@pytest.mark.parametrize("chunk", [L.CHUNK, 500])
-def test_counts_and_scores(spark, chunk):
+@pytest.mark.parametrize(("chunk", "most", "fan"), [(L.CHUNK, L.ENTRIES, L.FAN), (500, L.ENTRIES, L.FAN), (2000, 700, 3)])
+def test_counts_and_scores(spark, chunk, most, fan):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     docs = [tuple(r) for r in rows] + [(9000, None), (9001, ""), (9002, "The the THE"), (9003, "The the THE"), (9004, "  x\x1fy \x0b z")]
     frame = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, chunk int")
     learn = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
-    got = {r["id"]: r for r in L.score(frame, fold("doc_id", 7) != 2, chunk=chunk).collect()}
+    got = {r["id"]: r for r in L.score(frame, fold("doc_id", 7) != 2, chunk=chunk, most=most, fan=fan).collect()}
     assert len(got) == len(docs)
     for (i, _), (n, known, total, base, score) in zip(docs, brute(docs, learn)):
         r = got[i]
