@@ -21,6 +21,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +36,17 @@ CAPACITY, END = 4096, 2
 DIMS, AXES, ORDER, TIE = 4096, 4, 10, 22
 #: Tokens of a range that are aimed at, and ranges at most; a range is streamed, so its size isn't bounded by memory.
 RANGE_TOKENS, RANGES = 4_000_000, 4096
-#: Words, and pieces of words, whose tokens a worker remembers, and bytes of one at most.
-REMEMBERED, WORD_BYTES = 400_000, 64
+#: Pieces of words whose tokens a worker remembers, in two generations of half as many, and characters of one at most.
+REMEMBERED, PIECE_CHARACTERS = 800_000, 64
 
 
 # How a word vocabulary normalises and splits texts. White space always parts tokens there.
 _NORMALIZER = ["NFC", "Replace", "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same split for lower-cased Latin-1 without white space and controls, where normalising changes nothing else.
-_LATIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
+#: The same split for lower-cased Latin-1 without other white space and controls, where normalising changes nothing else.
+_LATIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xff]*")
+_BLANK = re.compile(r"[\t-\r ]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r 0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -54,14 +56,36 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """Tokens of pieces of words. What is asked for again outlives a generation; the rest is forgotten after two."""
+
+    def __init__(self, tokenizer, most: int) -> None:
+        super().__init__()
+        self.tokenize, self.most, self.older = tokenizer.model.tokenize, most, {}
+        self.characters = _byte_characters()
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.characters)
+            found = array("H", [t.id for t in self.tokenize(text)]).tobytes()
+            if len(piece) > PIECE_CHARACTERS:
+                return found
+        if 2 * len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+
 class Encoder:
     """Token ids of texts by a public tokenizer.
 
-    Where white space always parts tokens, words are encoded once and remembered, and plain
-    words are cut into pieces that are remembered too; other tokenizers get whole texts.
+    Where white space always parts tokens, Latin-1 texts are cut into pieces whose tokens are
+    remembered, and of others the words that aren't Latin-1 are encoded as they are; other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,49 +95,36 @@ class Encoder:
         shape = json.loads(self.tokenizer.to_str())
         normal, split = shape["normalizer"] or {}, (shape["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.by_word = [n["type"] for n in normal.get("normalizers", [])] == _NORMALIZER and [p["type"] for p in split] == ["Split", "ByteLevel"] and split[0]["pattern"] == {"Regex": _SPLIT}
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.characters = _byte_characters()
+        self.pieces = _Pieces(self.tokenizer, remembered)
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.characters)
-            found = array("H", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
-            if len(piece) <= WORD_BYTES:
-                self.pieces[piece] = found
-        return found
+    def _latin(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, rest = {}, []
-        piece = self._piece
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            if _LATIN.fullmatch(text) and "<|" not in text:
-                out[w] = b"".join(map(piece, _PIECES.findall(text.lower())))
-            else:
-                rest.append(w)
-        return out | dict(zip(rest, self._whole(rest)))
-
-    def _whole(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("H", e.ids).tobytes() for e in found]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian 16-bit numbers."""
         end = array("H", [END]).tobytes()
+        decoded = [t.decode("utf-8", "replace") for t in texts]
         if not self.by_word:
-            return [ids + end for ids in self._whole(texts)]
-        cut = [t.split() for t in texts]
-        for held in (self.known, self.pieces):
-            if len(held) > REMEMBERED:
-                held.clear()
-        known = self.known
-        missing = list(set().union(*cut).difference(known)) if cut else []
-        long = self._learn([w for w in missing if len(w) > WORD_BYTES])
-        known.update(self._learn([w for w in missing if len(w) <= WORD_BYTES]))
-        get = (known | long).__getitem__ if long else known.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in cut]
+            return [ids + end for ids in self._whole(decoded)]
+        plain = [_LATIN.fullmatch(t) is not None and "<|" not in t for t in decoded]
+        # Of the other texts, runs of plain words go together; the rest is encoded in one call.
+        cut = {k: self._runs(t) for k, t in enumerate(decoded) if not plain[k]}
+        whole = iter(self._whole([run for runs in cut.values() for run, is_plain in runs if not is_plain]))
+        out = []
+        for k, text in enumerate(decoded):
+            ids = self._latin(text) if plain[k] else b"".join(self._latin(run) if is_plain else next(whole) for run, is_plain in cut[k])
+            out.append(ids + end)
+        return out
+
+    @staticmethod
+    def _runs(text: str) -> list[tuple[str, bool]]:
+        """Runs of words of a text, each all plain or not."""
+        fits = lambda w: _LATIN.fullmatch(w) is not None and "<|" not in w
+        return [(" ".join(ws), is_plain) for is_plain, ws in groupby(_BLANK.split(text), fits)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
