@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder of spark.checkpoint.dir; one of our own only on one machine, where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = f"file://{tempfile.gettempdir()}/lodestone-shared"
     return path.rstrip("/")
 
