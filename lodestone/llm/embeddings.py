@@ -1,23 +1,24 @@
 """Near-duplicate embeddings by product quantisation over inverted lists.
 
 Vectors are scaled to length one, so a cosine of at least t is a distance of at most
-sqrt(2 - 2t). Each lies in the inverted list of its nearest coarse centre; its residual
-is coded by subspace codebooks. A query looks into every list that can hold a neighbour:
-its difference of squared distances to the two centres is at most 2 * distance * gap of the
-centres (the bisector test), so no link is lost. There it sums table-lookup distances to the
-codes; a code's own error, kept beside it, bounds how far that is off, and only what the
-bound allows is reranked by exact cosine in double precision.
+r = sqrt(2 - 2t). Equal vectors are one class. A class lies in the inverted list of its nearest coarse centre;
+its residual is coded by subspace codebooks. If two classes of different lists link, the plane between the two centres
+parts them, and the one nearer to it is within r / 2 of it; so each class asks the lists whose plane is that near,
+and no link is lost. There table-lookup distances to the codes are summed; a code's own error, kept beside it, bounds
+how far that is off, and only what the bound allows is reranked by exact cosine in double precision.
 
-Lists are cut into blocks of BLOCK vectors, and pairs of blocks are the units of work, so
-a list that holds a third of all vectors is spread over many tasks. A unit returns the number
-of links of each vector and a spanning forest of them, never all pairs.
+A list's members, and the classes that ask it, are dealt to blocks of BLOCK and ASK, and a pair of blocks is the unit of
+work, so a list that holds a third of all vectors is spread over many tasks. Elsewhere a vector goes once to each list that it asks.
+A unit returns the number of links of each class and a spanning forest of them, never all pairs.
 
 Vectors of each length have centres, codebooks and lists of their own. These are fitted on a
-sample of at most SAMPLE vectors; every vector is indexed and is a query.
+sample of at most SAMPLE classes; every class is indexed and asks. Lists hold about LIST classes of the most frequent label,
+but there are LISTS at least and an eighth of SAMPLE at most; a label of SMALL classes or fewer is one list.
 
 Defined results: labels that are null or differ aren't compared, nor are vectors of different lengths; a vector
 that is null, empty, zero, or has null or non-finite components links with nothing; rows
-that repeat a vec_id are vectors of their own, whose links count for that id once each.
+that repeat a vec_id are vectors of their own, whose links count for that id once each; vectors are known as equal by
+their length and two 64-bit hashes; a null id isn't the smallest of anything. Labels are of any type that Spark can group by.
 """
 
 from __future__ import annotations
@@ -26,35 +27,41 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import session, table
-from .components import components
+from ..operators.components import components
+from .common import session, table, tidy
 
-#: Vectors that centres and codebooks are fitted on at most, vectors in a block, and subspaces.
-SAMPLE, BLOCK, SUBSPACES, CODES = 8_192, 512, 8, 64
-_SLACK = 1e-6
+#: Vectors that centres and codebooks are fitted on at most, codes of a subspace, and dimensions of one.
+SAMPLE, CODES, WIDTH = 16_384, 64, 4
+#: Classes in a list, lists at least, classes of a label that is one list, and members and askers in a unit.
+LIST, LISTS, SMALL, BLOCK, ASK = 256, 64, 32, 512, 2_048
+_SLACK = 1e-5
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     centres = x[rng.permutation(len(x))[:k]].astype(np.float64)
     for _ in range(rounds):
         near = _nearest(x, centres)[0]
-        for c in range(len(centres)):
-            if len(own := x[near == c]):
-                centres[c] = own.mean(0)
+        count = np.bincount(near, minlength=len(centres))
+        sums = np.stack([np.bincount(near, column, len(centres)) for column in x.T], 1)
+        centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
     return centres
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nearest centre, squared distances to all)."""
-    d = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)
+    d = _squares(x, centres)
     return d.argmin(1), d
 
 
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)
+
+
 class Quantiser:
     """Coarse centres, and codebooks of the residuals' subspaces."""
 
@@ -62,81 +69,98 @@ class Quantiser:
         rng = np.random.default_rng(seed)
         if not len(sample):
             sample = np.zeros((1, sample.shape[1] or 1))
-        self.centres = _kmeans(sample, min(lists, len(sample)), 8, rng)
+        self.centres = _kmeans(sample, min(lists, max(1, len(sample) // 8)), 8, rng)
         rest = sample - self.centres[_nearest(sample, self.centres)[0]]
-        self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
+        self.parts = np.array_split(np.arange(sample.shape[1]), -(-sample.shape[1] // WIDTH))
         self.books = [_kmeans(rest[:, p], min(CODES, len(rest)), 6, rng) for p in self.parts]
         gaps = self.centres[:, None] - self.centres[None]
         self.gaps = np.sqrt((gaps * gaps).sum(2))
 
-    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(list, codes, error of the code) of each vector."""
-        near = _nearest(x, self.centres)[0]
-        rest = x - self.centres[near]
+    def code(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, error of the code) of vectors in given lists."""
+        rest = x - self.centres[lists]
         codes = np.stack([_nearest(rest[:, p], b)[0] for p, b in zip(self.parts, self.books)], 1).astype(np.uint8)
         off = rest - np.concatenate([b[codes[:, k]] for k, b in enumerate(self.books)], 1)
-        return near, codes, np.sqrt((off * off).sum(1))
+        return codes, np.sqrt((off * off).sum(1))
 
-    def probes(self, x: np.ndarray, radius: float) -> np.ndarray:
-        """For each vector, whether a list can hold a neighbour within the radius."""
+    def asks(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """(list, whether it asks each list) of vectors: own lists aside, those whose plane lies within half the radius."""
         near, d = _nearest(x, self.centres)
-        return d - d[np.arange(len(x)), near][:, None] <= 2 * radius * self.gaps[near] + _SLACK
+        asks = d - d[np.arange(len(x)), near][:, None] <= radius * self.gaps[near] + _SLACK
+        asks[np.arange(len(x)), near] = False
+        return near, asks
 
     def distances(self, x: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of vectors to the codes of a list, by lookup in their tables."""
         rest = x - self.centres[centre]
         out = np.zeros((len(x), len(codes)))
         for k, (p, book) in enumerate(zip(self.parts, self.books)):
-            out += _nearest(rest[:, p], book)[1][:, codes[:, k]]
+            out += np.take(_squares(rest[:, p], book), codes[:, k], axis=1)
         return np.sqrt(np.maximum(out, 0))
 
 
-def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(usable rows, their vectors as doubles of length one)."""
-    usable, found = [], []
-    for i, v in enumerate(column):
-        values = v.as_py()
-        if values is None or len(values) != dim or None in values:
-            continue
-        x = np.array(values, np.float64)
-        scale = np.abs(x).max()
-        if np.isfinite(scale) and scale > 0:
-            x = x / scale
-            usable.append(i)
-            found.append(x / np.sqrt((x * x).sum()))
-    return np.array(usable, np.int64), np.array(found, np.float64).reshape(-1, dim)
+def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
+    """Vectors as doubles of length one."""
+    x = flat.astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(1, initial=0, keepdims=True) if len(x) else x
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _index(sent, dim: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            usable, x = _vectors(batch.column(2), dim)
-            if len(usable):
-                near, codes, errors = sent.value.code(x)
-                take = pa.array(usable)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(near, pa.int32()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors)],
-                    names=["row", "label", "list", "vector", "code", "error"],
-                )
+def _flat(column: pa.Array) -> np.ndarray:
+    """The values of a column of lists of one length, without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False)
 
-    return run
 
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    rows = np.ascontiguousarray(rows)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
 
-_BLOCK = "label long, list int, part int, rows array<long>, vectors binary, codes binary, errors binary, probes array<int>"
 
+def _matrix(column: pa.ChunkedArray, kind, width: int) -> np.ndarray:
+    """Binary values of one length as the rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
-def _blocks(sent, dim: int, radius: float):
-    def run(groups: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(groups["vector"]), np.float64).reshape(-1, dim)
-        lists = np.flatnonzero(sent.value.probes(x, radius).any(0)).tolist()
-        row = [int(groups["label"].iloc[0]), int(groups["list"].iloc[0]), int(groups["part"].iloc[0]), groups["row"].tolist(), x.tobytes(), b"".join(groups["code"]), groups["error"].to_numpy(np.float64).tobytes(), lists]
-        return pd.DataFrame([row], columns=[f.split()[0] for f in _BLOCK.split(", ")])
 
-    return run
+def _fitter(dim: int, lists: int):
+    import pickle
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        x = _unit(_flat(pa.Table.from_batches(held).sort_by("node").column("v").combine_chunks()), dim) if held else np.zeros((0, dim))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Quantiser(x, lists))], pa.binary())], names=["model"])
+
+    return tidy(run)
 
 
-def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect whatever the links of a block pair connect."""
+def _fit(classes: DataFrame, dim: int, lists: int) -> Quantiser:
+    """Fitted on at most SAMPLE classes, in one task; the driver gets the centres and codebooks alone."""
+    import pickle
+
+    sample = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("node", "v").coalesce(1)
+    return pickle.loads(sample.mapInArrow(_fitter(dim, lists), "model binary").first()[0])
+
+
+def _indexer(sent, dim: int, radius: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, label, m, small, v = batch.columns
+            flat = _flat(v)
+            x = _unit(flat, dim)
+            near, asks = sent.value.asks(x, radius)
+            small = small.to_numpy(zero_copy_only=False)
+            near[small], asks[small] = 0, False
+            codes, errors = sent.value.code(x, near)
+            first = np.concatenate(([0], np.cumsum(asks.sum(1)))).astype(np.int32)
+            probes = pa.ListArray.from_arrays(pa.array(first), pa.array(np.nonzero(asks)[1].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([node, label, m, pa.array(near.astype(np.int32)), _bytes(flat.reshape(-1, dim)), _bytes(codes), pa.array(errors), probes], names=["node", "label", "m", "list", "vector", "code", "error", "probes"])
+
+    return tidy(run)
+
+
+def _forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect whatever all the links do."""
     root: dict[int, int] = {}
 
     def find(v: int) -> int:
@@ -146,100 +170,103 @@ def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
         return v
 
     found = []
-    for i, row in enumerate(links):
-        for j in np.flatnonzero(row).tolist():
-            a, b = int(left[i]), int(right[j])
-            if (x := find(a)) != (y := find(b)):
-                root[max(x, y)] = min(x, y)
-                found.append((a, b))
+    for a, b in zip(left.tolist(), right.tolist()):
+        if (x := find(a)) != (y := find(b)):
+            root[max(x, y)] = min(x, y)
+            found.append((a, b))
     return found
 
 
 def linked(q: Quantiser, x: np.ndarray, y: np.ndarray, centre: int, codes: np.ndarray, errors: np.ndarray, least: float) -> np.ndarray:
     """Which of ``x`` link with which of ``y``, vectors of the list ``centre``."""
-    radius = np.sqrt(2 - 2 * least)
-    out = np.zeros((len(x), len(y)), bool)
-    ask = np.flatnonzero(q.probes(x, radius)[:, centre])
-    if not len(ask):
-        return out
-    maybe = q.distances(x[ask], centre, codes) - errors <= radius + _SLACK
+    maybe = q.distances(x, centre, codes) - errors <= np.sqrt(2 - 2 * least) + _SLACK
+    out = np.zeros(maybe.shape, bool)
     some = np.flatnonzero(maybe.any(1))
     if len(some):
-        exact = x[ask[some]] @ y.T >= least
-        out[ask[some]] = exact & maybe[some]
+        out[some] = maybe[some] & (x[some] @ y.T >= least)
     return out
 
 
-def _compare(sent, dim: int, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: dict[int, int] = {}
-            trees: list[tuple[int, int]] = []
-            for i in range(batch.num_rows):
-                get = lambda name: batch.column(name)[i].as_py()
-                rows = [np.array(get(n), np.int64) for n in ("xrows", "yrows")]
-                x, y = (np.frombuffer(get(n), np.float64).reshape(-1, dim) for n in ("xvectors", "yvectors"))
-                codes = np.frombuffer(get("ycodes"), np.uint8).reshape(len(y), -1)
-                links = linked(sent.value, x, y, get("ylist"), codes, np.frombuffer(get("yerrors"), np.float64), least)
-                same = get("same")
-                if same:
-                    np.fill_diagonal(links, False)
-                    links |= links.T
-                for who, axis in ((rows[0], 1), *(() if same else ((rows[1], 0),))):
-                    n = links.sum(axis)
-                    for k in np.flatnonzero(n).tolist():
-                        counts[int(who[k])] = counts.get(int(who[k]), 0) + int(n[k])
-                trees += _forest(np.triu(links) if same else links, rows[0], rows[1])
-            a = [*counts, *(x for x, _ in trees)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([*[None] * len(counts), *(y for _, y in trees)], pa.int64()), pa.array([*counts.values(), *[0] * len(trees)], pa.int64())], names=["a", "b", "n"])
+def _comparer(sent, dim: int, kind, least: float):
+    def run(unit: pa.Table) -> pa.Table:
+        asks = unit.column("asks").to_numpy()
+        x, y = unit.filter(pa.array(asks)), unit.filter(pa.array(~asks))
+        a, b, n = [], [], []
+        if x.num_rows and y.num_rows:
+            centre = unit.column("list")[0].as_py()
+            vx, vy = (_unit(_matrix(t.column("vector"), kind, dim), dim) for t in (x, y))
+            links = linked(sent.value, vx, vy, centre, _matrix(y.column("code"), np.uint8, len(sent.value.parts)), y.column("error").to_numpy(), least)
+            i, j = np.nonzero(links)
+            (nx, ny), (mx, my) = ([t.column(c).to_numpy() for t in (x, y)] for c in ("node", "m"))
+            home = x.column("home").to_numpy()[i]
+            # Where the member asks the asker's list too, the pair is met twice; it counts where the smaller one asks.
+            probes = y.column("probes").to_pylist()
+            twice = (home == centre) | np.array([h in probes[k] for h, k in zip(home.tolist(), j.tolist())], bool)
+            kept = (nx[i] < ny[j]) | ((nx[i] > ny[j]) & ~twice)
+            i, j = i[kept], j[kept]
+            for who, weight in ((nx[i], my[j]), (ny[j], mx[i])):
+                own, at = np.unique(who, return_inverse=True)
+                a += own.tolist()
+                n += np.bincount(at.ravel(), weight, len(own)).astype(np.int64).tolist()
+            trees = _forest(nx[i], ny[j])
+            b = [None] * len(a) + [v for _, v in trees]
+            a, n = a + [u for u, _ in trees], n + [0] * len(trees)
+        return pa.table([pa.array(c, pa.int64()) for c in (a, b, n)], names=["a", "b", "n"])
 
     return run
 
 
-def _links(usable: DataFrame, dim: int, least: float, lists: int) -> DataFrame:
-    """(a, b, n): for vectors of one length, the number of links of row ``a`` where ``b`` is null, else a link of a spanning forest."""
-    taken = usable.orderBy(F.xxhash64("id", "row")).limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
-    sent = usable.sparkSession.sparkContext.broadcast(Quantiser(_vectors(taken, dim)[1], lists))
-    radius = float(np.sqrt(2 - 2 * least))
-    index = usable.select("row", "label", "v").mapInArrow(_index(sent, dim), "row long, label long, list int, vector binary, code binary, error double")
+def _links(classes: DataFrame, dim: int, least: float, lists: int, kind) -> DataFrame:
+    """(a, b, n): for classes of one length, the number of links of class ``a`` where ``b`` is null, else a link of a spanning forest."""
+    sent = classes.sparkSession.sparkContext.broadcast(_fit(classes, dim, lists))
+    label = classes.schema["label"].dataType.simpleString()
+    index = classes.select("node", "label", "m", "small", "v").mapInArrow(_indexer(sent, dim, float(np.sqrt(2 - 2 * least))), f"node long, label {label}, m long, list int, vector binary, code binary, error double, probes array<int>")
     index = table(index, "codes")
-    # A list's vectors are dealt over as many blocks as it needs.
-    sizes = index.groupBy("label", "list").agg(F.count("*").alias("c"))
-    dealt = index.join(sizes, ["label", "list"]).withColumn("part", F.pmod(F.xxhash64("row"), F.ceil(F.col("c") / BLOCK)).cast("int")).drop("c")
-    dealt = dealt.repartition("label", "list", "part")  # else a list would meet in one task, as the join dealt it
-    blocks = table(dealt.groupBy("label", "list", "part").applyInPandas(_blocks(sent, dim, radius), _BLOCK), "blocks")
-    # A pair of blocks is met once: where either probes the other's list, from the smaller one's side.
-    x = blocks.select("label", *[F.col(c).alias("x" + c) for c in ("list", "part", "probes")])
-    y = blocks.select("label", *[F.col(c).alias("y" + c) for c in ("list", "part")])
-    asked = x.select("label", "xlist", "xpart", F.explode("xprobes").alias("ylist")).join(y, ["label", "ylist"])
-    asked = asked.select(
-        "label",
-        F.least(F.struct("xlist", "xpart"), F.struct(F.col("ylist").alias("xlist"), F.col("ypart").alias("xpart"))).alias("p"),
-        F.greatest(F.struct("xlist", "xpart"), F.struct(F.col("ylist").alias("xlist"), F.col("ypart").alias("xpart"))).alias("q"),
-    ).distinct()
-    asked = asked.select("label", F.col("p.xlist").alias("xlist"), F.col("p.xpart").alias("xpart"), F.col("q.xlist").alias("ylist"), F.col("q.xpart").alias("ypart"))
-    left = blocks.select("label", F.col("list").alias("xlist"), F.col("part").alias("xpart"), F.col("rows").alias("xrows"), F.col("vectors").alias("xvectors"))
-    right = blocks.select("label", F.col("list").alias("ylist"), F.col("part").alias("ypart"), F.col("rows").alias("yrows"), F.col("vectors").alias("yvectors"), F.col("codes").alias("ycodes"), F.col("errors").alias("yerrors"))
-    pairs = asked.join(left, ["label", "xlist", "xpart"]).join(right, ["label", "ylist", "ypart"])
-    pairs = pairs.select("xrows", "xvectors", "ylist", "yrows", "yvectors", "ycodes", "yerrors", (F.col("xlist").eqNullSafe(F.col("ylist")) & (F.col("xpart") == F.col("ypart"))).alias("same"))
-    return table(pairs.mapInArrow(_compare(sent, dim, least), "a long, b long, n long"), "links")
+    asking = index.select("node", "label", "m", "vector", F.col("list").alias("home"), F.explode(F.concat("probes", F.array("list"))).alias("list"))
+    # A list's members and askers are dealt over as many blocks as they need; most lists are one unit.
+    sizes = index.groupBy("label", "list").agg(F.count("*").alias("members")).join(asking.groupBy("label", "list").agg(F.count("*").alias("askers")), ["label", "list"])
+    sizes = table(sizes.select("label", "list", F.ceil(F.col("members") / BLOCK).alias("ps"), F.ceil(F.col("askers") / ASK).alias("qs")), "lists")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    shared = ["label", "list", "p", "q", "asks", "node", "m", "vector", "home", "code", "error", "probes"]
+    members = index.join(sizes, ["label", "list"]).withColumns({"p": part("ps"), "asks": F.lit(False), "home": F.col("list")}).withColumn("q", every("qs"))
+    askers = asking.join(sizes, ["label", "list"]).withColumns({"q": part("qs"), "asks": F.lit(True), "code": F.lit(None).cast("binary"), "error": F.lit(0.0), "probes": F.lit(None).cast("array<int>")}).withColumn("p", every("ps"))
+    units = members.select(*shared).union(askers.select(*shared)).repartition("label", "list", "p", "q")
+    return table(units.groupBy("label", "list", "p", "q").applyInArrow(_comparer(sent, dim, kind, least), "a long, b long, n long"), "links")
+
+
+def _usable(v: Column) -> Column:
+    """Whether a vector is one of finite numbers that aren't all zero."""
+    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(whole & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, lists: int | None = None) -> DataFrame:
     """(id, n_links, component) of every row of ``vectors``."""
     spark = session(vectors.sparkSession)
-    numbered = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = table(numbered.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    usable = rows.where("label IS NOT NULL AND size(v) > 0")
-    shapes = usable.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).where("c > 1").orderBy("d").collect()
-    parts = [_links(usable.where(F.size("v") == s["d"]), s["d"], least, lists or max(1, min(256, int(np.sqrt(s["c"])) // 4))) for s in shapes]
+    single = vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull)
+    found = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
+    # Two hashes stand for a vector; one starts from the other end.
+    rows = table(found.withColumns({"usable": F.col("label").isNotNull() & _usable(F.col("v")), "h": F.xxhash64("v"), "g": F.xxhash64(F.lit(1), F.reverse("v")), "d": F.size("v")}), "vectors")
+    same = ["label", "d", "h", "g"]
+    classes = table(rows.where("usable").groupBy(*same).agg(F.min("row").alias("node"), F.count("*").alias("m"), F.first("v").alias("v")), "classes")
+    labels = classes.groupBy("label", "d").agg(F.count("*").alias("c"))
+    shapes = labels.groupBy("d").agg(F.max("c").alias("c")).where("c > 1").orderBy("d").collect()
+    sized = classes.join(labels, ["label", "d"]).withColumn("small", F.col("c") <= SMALL)
+    kind = np.float32 if single else np.float64
+    parts = [_links(sized.where(F.col("d") == s["d"]), s["d"], least, lists or max(LISTS, -(-s["c"] // LIST)), kind) for s in shapes]
     found = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "a long, b long, n long")
 
-    counts = found.where("b IS NULL").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n"))
-    roots = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "row")
-    named = rows.select("row", "id").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    smallest = named.groupBy("root").agg(F.min("id").alias("component"))
-    return named.join(smallest, "root").join(counts, "row", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "component")
+    counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    roots = components(found.where("b IS NOT NULL").select("a", "b"))
+    held = classes.select(*same, "node", "m").join(counts, "node", "left").join(roots, "node", "left")
+    held = held.select(*same, (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("root", "node").alias("root"))
+    # A class's smallest id is found before its rows meet, so that a hot class isn't dealt by its root.
+    least_id = rows.where("usable").groupBy(*same).agg(F.min("id").alias("id"))
+    smallest = held.join(least_id, same).groupBy("root").agg(F.min("id").alias("component"))
+    told = held.join(smallest, "root").select(*same, "n", "component")
+    out = rows.where("usable").select("id", *same).join(told, same).select("id", "n", "component")
+    return out.union(rows.where("NOT usable").select("id", F.lit(0), "id")).select("id", F.col("n").cast("long").alias("n_links"), "component")
 
 
 def op7_product_quantised_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -51,6 +51,7 @@ def test_brute_force(spark, seed, lists):
 
 def test_hot_list_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(E, "BLOCK", 32)
+    monkeypatch.setattr(E, "ASK", 64)
     r = np.random.default_rng(4)
     base = r.normal(size=8)
     rows = [(k, (base + r.normal(size=8) * 0.13).astype(np.float32).tolist(), 1) for k in range(300)]
@@ -82,17 +83,51 @@ def test_nothing_to_compare(spark):
     assert E.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_copies_repeated_ids_and_other_labels(spark):
+    r = np.random.default_rng(3)
+    base = r.normal(size=8)
+    rows = [(k, base.astype(np.float32).tolist(), "a") for k in range(200)] + [(300 + k, (2 * base + r.normal(size=8) * 0.1).astype(np.float32).tolist(), "ab"[k % 2]) for k in range(80)]
+    rows += [(300, rows[-1][1], "b"), (300, rows[-1][1], "b"), (7, [-v for v in rows[0][1]], "a")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    got = sorted(map(tuple, E.near_vectors(frame).collect()))
+    # Ids of several rows: links are by row, the component by id.
+    assert [(i, n) for i, n, _ in got] == [(i, n) for i, n, _ in brute(rows, 0.93)]
+    assert {c for i, _, c in got if i in (0, 199, 302)} == {0} and {c for i, _, c in got if i == 301} == {300}
+    assert got[-1][1] == sum(y == "b" for _, _, y in rows) - 1
+    doubles = spark.createDataFrame([(i, [float(x) for x in v], y) for i, v, y in rows], "vec_id long, embedding array<double>, label string")
+    assert sorted(map(tuple, E.near_vectors(doubles).collect())) == got
+
+
+def test_lists_are_pruned_and_recall_is_whole():
+    """Random directions, which no list suits: units still ask a part of the lists only, and the codes rule out most pairs."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(3000, 64))
+    x[1500:] = x[:1500] + r.normal(size=(1500, 64)) * 0.25
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = E.Quantiser(x, 64)
+    radius = np.sqrt(2 - 2 * 0.93)
+    near, asks = q.asks(x, radius)
+    links = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
+    assert len(links) > 1000
+    assert (asks[links[:, 0], near[links[:, 1]]] | asks[links[:, 1], near[links[:, 0]]] | (near[links[:, 0]] == near[links[:, 1]])).all()
+    assert asks.mean() < 0.3
+    own = np.flatnonzero(near == 0)
+    codes, errors = q.code(x[own], near[own])
+    assert (q.distances(x, 0, codes) - errors <= radius).mean() < 0.05
+
+
 def test_bounds_hold():
-    """A code's error bounds how far its distance is off, and the bisector test keeps every near list."""
+    """A code's error bounds how far its distance is off, and of two near vectors one asks the other's list."""
     r = np.random.default_rng(6)
     x = r.normal(size=(400, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     q = E.Quantiser(x, 10)
-    near, codes, errors = q.code(x)
-    probes = q.probes(x, 0.9)
+    near, asks = q.asks(x, 0.9)
+    codes, errors = q.code(x, near)
     exact = np.linalg.norm(x[:, None] - x[None], axis=2)
     for c in range(10):
         own = np.flatnonzero(near == c)
         if len(own):
             assert (np.abs(q.distances(x, c, codes[own]) - exact[:, own]) <= errors[own] + 1e-9).all()
-            assert probes[(exact[:, own] <= 0.9).any(1), c].all()
+    a, b = np.nonzero((exact <= 0.9) & (near[:, None] != near[None]))
+    assert len(a) and (asks[a, near[b]] | asks[b, near[a]]).all()
