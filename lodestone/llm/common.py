@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import shared_path, table
+
+__all__ = ["by_batch", "fitted", "fold", "input_partitions", "range_of", "release", "session", "shared_path", "table", "text_bytes", "tidy"]
+
 #: Rows and bytes of one Arrow batch; a batch ends with the row that passes either.
 ARROW_ROWS, ARROW_BYTES = 256, 1 << 21
 
@@ -40,26 +42,6 @@ def by_batch(run, returns, *inputs: Column) -> Column:
     return F.arrow_udf(several if len(inputs) > 1 else one, returnType=returns).asNondeterministic()(*inputs)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.gettempdir()}/lodestone-shared"
-    return path.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again, which cuts its lineage there."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release() -> None:
     """Give memory that a worker no longer uses back to the system; workers live on after a task."""
     import ctypes

@@ -141,7 +141,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     dealt = known.withColumn("part", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(PARTS)))
     some = dealt.withColumn("nth", nth("lang", "part")).where(F.col("nth") <= max(1, sample * 4 // PARTS)).select("__id", "lang")
     taken = some.withColumn("nth", nth("lang")).where(F.col("nth") <= sample).orderBy("nth", "lang").limit(sample).groupBy("__id").agg(F.min("lang").alias("lang"))
-    own = docs.select(F.col(id_col).alias("__id"), text_bytes(text_col).alias("text")).join(F.broadcast(taken), "__id").dropDuplicates(["__id"]).select("__id", "lang", "text")
+    own = docs.select(F.col(id_col).alias("__id"), text_bytes(text_col).alias("text")).join(F.broadcast(taken), "__id")
+    # Of texts that share an id, that of the least hash.
+    own = own.groupBy("__id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "lang", "text")).alias("m")).select("__id", "m.lang", "m.text")
     kind = docs.schema[id_col].dataType.simpleString()
     return fitted(own.mapInArrow(_gather, f"__id {kind}, lang string, buckets binary, counts binary"), _build)
 

@@ -128,7 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("y"))
     # At most ``sample`` rows of two numbers, so the broadcast is of a bounded size.
     taken = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    own = docs.select(F.col(id_col).alias("__id"), text_bytes(text_col).alias("text")).join(F.broadcast(taken), "__id").dropDuplicates(["__id"]).select("__id", "y", "text")
+    own = docs.select(F.col(id_col).alias("__id"), text_bytes(text_col).alias("text")).join(F.broadcast(taken), "__id")
+    # Of texts that share an id, that of the least hash.
+    own = own.groupBy("__id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "y", "text")).alias("m")).select("__id", "m.y", "m.text")
     kind = docs.schema[id_col].dataType.simpleString()
     return fitted(own.mapInArrow(_gather, f"__id {kind}, y int, terms binary"), _build)
 

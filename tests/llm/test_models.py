@@ -71,3 +71,79 @@ def test_folds_are_crc32(spark):
 
     rows = spark.range(50).select("id", fold("id", 7).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 7 for r in rows)
+
+
+def _plain_words(text):
+    import re
+
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+
+
+def test_toxicity_scores_by_the_formula(spark):
+    """Bias, weights of the distinct terms and inner products of the factors of all their pairs, one by one."""
+    from lodestone.llm import tokens
+
+    r = np.random.default_rng(5)
+    vocabulary = [f"word{k:02d}x" for k in range(40)]
+    rows = [(k, " ".join(r.choice(vocabulary, 12)) + (" vile scoundrel" if k % 4 == 0 else "") + (" vile" if k % 4 == 1 else "")) for k in range(200)] + [(900, None), (901, ""), (902, "...")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    machine = X.fit(docs, spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int"))
+    assert len(machine.weight) > 1
+
+    def plain(text):
+        found = set()
+        for w in _plain_words(text):
+            b = w.encode()
+            found.add(machine.place[tokens.word_hash(b) % X.BUCKETS])
+            if len(b) > X.STEM:
+                stem = tokens.mix(np.array([tokens.word_hash(b[: X.STEM]) ^ 0x5DEECE66D], np.uint64))[0]
+                found.add(machine.place[int(stem) % X.BUCKETS])
+        ts = sorted(t for t in found if t >= 0)
+        z = machine.bias + sum(machine.weight[t] for t in ts)
+        z += sum(float(machine.factor[a] @ machine.factor[b]) for i, a in enumerate(ts) for b in ts[:i])
+        return 1 / (1 + np.exp(-z))
+
+    got = {r["doc"]["doc_id"]: r["score"] for r in X.score(docs, machine).collect()}
+    for k, text in rows:
+        assert got[k] == pytest.approx(plain(text), abs=1e-9), k
+
+
+def test_language_scores_by_the_formula(spark):
+    """The mean of the scores of all runs of two to four bytes, taken one by one."""
+    words = {"en": "the cat sat on that mat with a hat".split(), "fr": "le chat était sur la table avec une souris".split()}
+    r = np.random.default_rng(6)
+    rows = [(k, " ".join(r.choice(words["en" if k % 2 else "fr"], 9)), "en" if k % 2 else "fr") for k in range(80)] + [(900, "a", None), (901, "Le CAT, 12 é!", None), (902, "ΩΩ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = G.fit(docs)
+
+    def plain(text):
+        raw = bytes(int(G._PLAIN[b]) for b in text.encode())
+        padded, found = b" " + raw + b" ", []
+        for size, spread in zip((2, 3, 4), (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+            for i in range(len(padded) - size + 1):
+                run = padded[i : i + size]
+                inner = run if size == 2 else run[1:-1]
+                if (any(b != 32 for b in inner)) if size == 2 else all(b != 32 for b in inner):
+                    found.append((int.from_bytes(run, "big") * spread & 0xFFFFFFFF) >> 16)
+        z = (np.mean([model.table[b] for b in found], axis=0) + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        return model.langs[int(p.argmax())], p.max() / p.sum()
+
+    got = {r["doc"]["doc_id"]: (r["lang_pred"], r["score"]) for r in G.predict(docs, model).collect()}
+    for k, text, _ in rows:
+        lang, score = plain(text)
+        assert got[k][0] == lang and got[k][1] == pytest.approx(score, abs=1e-5), (k, text)
+
+
+def test_equally_likely_languages():
+    model = G.Model([], ["b", "a"])
+    model.table, model.common = np.zeros((G.BUCKETS, 2), np.float32), "b"
+    langs, p = model.predict(np.frombuffer(b"same", np.uint8), np.array([0, 4]))
+    assert langs == ["a"] and p[0] == 0.5
+
+
+def test_one_text_of_an_id_is_fitted(spark):
+    rows = [(k % 40, f"text number {k} of words here") for k in range(120)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    machines = [X.fit(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, rows[::-1])]
+    assert machines[0].bias == machines[1].bias and np.array_equal(machines[0].weight, machines[1].weight)

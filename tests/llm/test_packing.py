@@ -74,3 +74,13 @@ def test_pieces(spark, tokenizer):
 def test_query(spark, tokenizer):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     check(P.op3_hilbert_packing(spark, "/root/testdata/sf0.001").collect(), docs, tokenizer)
+
+
+def test_forgotten_pieces_are_found_again(tokenizer):
+    r = random.Random(4)
+    texts = [" ".join(r.choice("the of and a12 don't été x-ray ½ ÀÉ 記 İ".split()) + str(r.randrange(300)) for _ in range(60)) for _ in range(40)]
+    encoder = P.Encoder(P.tokenizer_path(), 50)
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+            assert np.frombuffer(ids, np.uint16).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, P.END]
+    assert len(encoder.pieces) + len(encoder.pieces.older) <= 60

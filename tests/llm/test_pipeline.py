@@ -58,3 +58,24 @@ def test_run_is_its_stages(spark, corpus):
     rows = pipeline.run(spark, path).collect()
     assert rows and {r["sequence_id"] for r in rows} == set(range(max(r["sequence_id"] for r in rows) + 1))
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "language_id", "near_dedup", "decontamination", "packing"]
+
+
+def test_stages_on_odd_tables(spark, corpus, tmp_path):
+    """Nulls in every column, repeated ids, very long texts, clashing names, no rows, and no labels or items."""
+    path, docs, item = corpus
+    long = "the same words again and again " * 20_000
+    odd = [(None, None, None, None, None), (None, "", "en", "s", 0), (None, docs[2][1], None, None, None), (7, docs[3][1], "en", "s", 1), (7, docs[5][1], "en", "s", 1), (7, docs[5][1], "en", "s", 1), (8, long, "en", None, 3), (None, item, None, "s", None)]
+    rows = [(*d, k, "x", 0.5, "m", "k", "n") for k, d in enumerate([*list(docs.values())[:60], *odd])]
+    names = "doc_id long, text string, lang string, source string, n_chars long, __id long, doc string, score double, match string, key string, node string"
+    frame = spark.createDataFrame(rows, names)
+    for table, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    for folder in (path, str(tmp_path)):
+        for docs_ in (frame, frame.limit(0)):
+            for name, stage in pipeline.STAGES[:-1]:
+                found = stage(spark, docs_, folder)
+                assert found.columns == frame.columns and found.schema["n_chars"].dataType == frame.schema["n_chars"].dataType, name
+                count = found.count()
+                assert count <= len(rows) and (count > 0) == (docs_ is frame), name
+            pieces = pipeline.STAGES[-1][1](spark, docs_, folder)
+            assert (pieces.count() >= len(rows)) == (docs_ is frame)
