@@ -50,8 +50,10 @@ def tokenize(c: Column | str) -> Column:
     The rest is the text without words and white space, so a pair may span a removed word.
     """
     low = F.lower(text(c))
-    rest = characters(F.regexp_replace(low, f"[a-z0-9_{SPACE}]+", ""))
-    return F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)), neighbours(rest))
+    rest = F.regexp_replace(low, f"[a-z0-9_{SPACE}]+", "")
+    # A look-ahead finds overlapping pairs at once; it steps by code units, so other planes go character by character.
+    pairs = F.when(rest.rlike(r"[\x{10000}-\x{10FFFF}]"), neighbours(characters(rest))).otherwise(F.regexp_extract_all(rest, F.lit("(?s)(?=(..))"), F.lit(1)))
+    return F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)), pairs)
 
 
 def token_count(c: Column | str) -> Column:

@@ -39,7 +39,9 @@ def locate(items: DataFrame, groups: DataFrame, *, most: int = 6) -> DataFrame:
     edits = items.select("id", F.posexplode(parse_edits("edit_history")).alias("edit_no", "e")).where("NOT e.unparsed")
     each = edits.select("id", "edit_no", "e.scene", "e.action", F.col("e.session").alias("wanted"), F.explode(material_turns(F.col("e"))).alias("abs"))
     known = groups.where("user_seq IS NOT NULL").select(F.col("session").alias("session"), short.alias("short"), "abs", "user_seq", "quote")
-    met = each.join(known, "abs").where(F.col("short").startswith(F.col("wanted")))
+    # A name has four characters at least, so these and the turn's number are a key that both sides have.
+    each, known = each.withColumn("head", F.substring("wanted", 1, 4)), known.withColumn("head", F.substring("short", 1, 4))
+    met = each.join(known, ["head", "abs"]).where(F.col("short").startswith(F.col("wanted")))
     place = F.row_number().over(Window.partitionBy("id", "edit_no").orderBy("abs", "session"))
     return met.withColumn("place", place).where(F.col("place") <= most).select("id", "edit_no", "scene", "action", "session", "abs", "user_seq", "quote")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.operators.ranking import small
 from lodestone.schemas import OUTCOMES
 
 _TRIPLES = "array<struct<subject string, predicate string, value string>>"
@@ -53,8 +54,8 @@ def facts_route(queries: DataFrame, facts: DataFrame, entries: DataFrame | None
         now = entries.select(F.col("id").alias("src"), F.col("updated_at").alias("now"))
         own = own.join(now, "src", "left").where("now IS NULL OR src_updated_at IS NULL OR now = src_updated_at")
     own = own.withColumn("fact", F.monotonically_increasing_id())
-    # The queries' values are few; each fact looks at all of them.
-    met = own.join(F.broadcast(wanted), F.contains("v", F.col("x")))
+    # Each fact looks at all values that the queries name.
+    met = own.join(small(wanted), F.contains("v", F.col("x")))
     each = met.groupBy("query_id", "src", "fact", "subject", "predicate", "value").agg(F.count("*").alias("matched"))
     score = 0.5 + F.least(F.lit(1.0), 0.2 * F.col("matched"))
     text = F.concat_ws("|", "subject", "predicate", "value")

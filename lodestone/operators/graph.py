@@ -6,12 +6,14 @@ iterated as joins and sums; every few rounds the ranks are written, which bounds
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.durable import table
 from lodestone.operators.components import components
+from lodestone.operators.ranking import placed
 from lodestone.operators.vectors import similar_pairs
 
 DAMPING, ITERATIONS, THRESHOLD, NEIGHBOURS = 0.85, 50, 0.62, 8
@@ -84,47 +86,72 @@ def term_rank(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, i
     return _rank(nodes, flat, teleport, damping=damping, iterations=iterations, dangling=False)
 
 
+def _settled(a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, labels) of a component's edges. A node is looked at again only where a neighbour's label has changed since."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = ends.ravel()[: len(a)], ends.ravel()[len(a) :]
+    src, dst, weight = np.concatenate([left, right]), np.concatenate([right, left]), np.concatenate([w, w])
+    order = np.lexsort((dst, src))
+    dst, weight = dst[order], weight[order]
+    first = np.searchsorted(src[order], np.arange(len(ids) + 1))
+    label, stirred = np.arange(len(ids)), np.ones(len(ids), bool)
+    for _ in range(rounds):
+        moved = False
+        for v in range(len(ids)):
+            if not stirred[v]:
+                continue
+            stirred[v] = False
+            near = dst[first[v] : first[v + 1]]
+            names, at = np.unique(label[near], return_inverse=True)
+            # The first maximum is that of the smallest label.
+            new = names[np.bincount(at.ravel(), weight[first[v] : first[v + 1]]).argmax()]
+            if new != label[v]:
+                label[v], moved = new, True
+                stirred[near] = True
+        if not moved:
+            break
+    return ids, ids[label]
+
+
 def label_propagation(nodes: DataFrame, edges: DataFrame, *, rounds: int = 50) -> DataFrame:
     """(id, label) by in-place propagation in ascending order of ids, ties to the smaller label.
 
     A node reads only its neighbours and a settled component stays as it is, so running the same
-    sequence within each connected component gives the same labels; components are the unit of work.
+    sequence within each connected component gives the same labels; components are the unit of work. The sequence
+    leaves no way to split one: a task holds a component's edges as flat arrays, some 60 bytes an edge.
     """
     roots = components(edges.select("a", "b"))
     held = edges.join(roots.withColumnRenamed("node", "a"), "a").select("root", "a", "b", "w")
 
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b, w in group.sort_values(["a", "b"])[["a", "b", "w"]].itertuples(index=False):
-            near.setdefault(a, []).append((b, w))
-            near.setdefault(b, []).append((a, w))
-        label = {v: v for v in near}
-        for _ in range(rounds):
-            changed = False
-            for v in sorted(near):
-                votes: dict = {}
-                for u, w in near[v]:
-                    votes[label[u]] = votes.get(label[u], 0.0) + w
-                best, most = label[v], 0.0
-                for name, count in votes.items():
-                    if count > most or (count == most and name < best):
-                        best, most = name, count
-                changed |= label[v] != best
-                label[v] = best
-            if not changed:
-                break
-        return pd.DataFrame({"id": list(label), "label": list(label.values())})
+    def settle(group: pa.Table) -> pa.Table:
+        ids, labels = _settled(*(group.column(c).to_numpy() for c in ("a", "b", "w")), rounds)
+        return pa.table({"id": ids, "label": labels})
 
     kind = nodes.schema["id"].dataType.simpleString()
-    found = held.groupBy("root").applyInPandas(settle, f"id {kind}, label {kind}")
+    found = held.groupBy("root").applyInArrow(settle, f"id {kind}, label {kind}")
     return nodes.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
 def communities(labels: DataFrame) -> DataFrame:
     """(label, community, size): communities named c-1, c-2, ... by size, then by their first node."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-    place = F.row_number().over(Window.orderBy(F.desc("size"), "first"))
-    return sizes.select("label", F.concat(F.lit("c-"), place).alias("community"), "size")
+    return placed(sizes, F.desc("size"), "first").select("label", F.concat(F.lit("c-"), "place").alias("community"), "size")
+
+
+def top_ranks(ranks: DataFrame, labels: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """The ``limit`` highest ranks (id, rank), with each node's community where labels are given."""
+    top = ranks.orderBy(F.desc("rank"), "id").limit(limit)
+    if labels is None:
+        return top
+    named = labels.join(communities(labels), "label").select("id", "community", "size")
+    return top.join(named, "id", "left").orderBy(F.desc("rank"), "id")
+
+
+def community_of(labels: DataFrame, node) -> DataFrame:
+    """(id, community): the members of the community that a node belongs to."""
+    own = labels.where(F.col("id") == F.lit(node)).select("label")
+    named = communities(labels)
+    return labels.join(own, "label", "left_semi").join(named, "label").select("id", "community")
 
 
 def neighbours(edges: DataFrame, node, limit: int = 20) -> DataFrame:
@@ -165,7 +192,6 @@ def graph_route(terms: DataFrame, triples: DataFrame, query: str, candidates: Da
     ranks = term_rank(edges, seeds)
     allowed = candidates.select(F.col("id").alias("turn"))
     scored = ranks.join(bridge, ranks.id == bridge.term).join(allowed, "turn", "left_semi").groupBy(F.col("turn").alias("id")).agg(F.sum("rank").alias("score"))
-    total = scored.agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
-    kept = scored.withColumn("place", place).crossJoin(F.broadcast(total)).where(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("n") * keep)))
+    scored = table(scored, "scored-turns")
+    kept = scored.orderBy(F.desc("score"), "id").limit(max(1, -int(-scored.count() * keep // 1)))
     return kept.crossJoin(F.broadcast(seeds.agg(F.count("*").alias("seeds")))).where("seeds > 0").select("id", "score")

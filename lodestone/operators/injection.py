@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import lexical
+from lodestone.operators.ranking import small
 
 MAX_TURNS, MAX_CHARS, USER_CHARS, ANSWER_CHARS = 4, 2400, 420, 760
 ARG_CHARS, ITEM_CHARS, COOLDOWN_MS = 4000, 240, 900_000
@@ -80,11 +81,11 @@ def serialize_arguments(arguments: Column) -> Column:
 
 
 def match_rules(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The first rule (ord, rule_id, tools, pattern) that each call (call_id, name, arguments) meets. Rules are few and broadcast."""
+    """The first rule (ord, rule_id, tools, pattern) that each call (call_id, name, arguments) meets."""
     held = calls.withColumn("__hay", serialize_arguments(F.col("arguments")))
     tools = (F.size(F.coalesce("tools", F.array().cast("array<string>"))) == 0) | F.array_contains("tools", F.col("name"))
     pattern = F.col("pattern").isNull() | F.expr("__hay RLIKE concat('(?i)', pattern)")
-    met = held.join(F.broadcast(rules), F.coalesce(tools, F.lit(False)) & pattern)
+    met = held.join(small(rules), F.coalesce(tools, F.lit(False)) & pattern)
     first = F.row_number().over(Window.partitionBy("call_id").orderBy("ord"))
     return met.withColumn("__nth", first).where("__nth = 1").drop("__nth", "__hay")
 
@@ -115,8 +116,7 @@ def not_injected(hits: DataFrame, ledger: DataFrame, now: int, ttl_ms: int = 1_8
 def live_sessions(ledger: DataFrame, most: int = 64) -> DataFrame:
     """Ledger rows of the sessions that were first seen last; older sessions are evicted."""
     first = ledger.groupBy("session").agg(F.min("at").alias("first"))
-    place = F.row_number().over(Window.orderBy(F.desc("first"), "session"))
-    return ledger.join(first.withColumn("__place", place).where(F.col("__place") <= most).select("session"), "session", "left_semi")
+    return ledger.join(first.orderBy(F.desc("first"), "session").limit(most).select("session"), "session", "left_semi")
 
 
 def record_decision(rows: DataFrame, now: int) -> DataFrame:

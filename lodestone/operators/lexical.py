@@ -6,9 +6,12 @@ joined to it by term, so only postings of query terms are scored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.durable import table
 from lodestone.functions import text as tx
 
 
@@ -28,12 +31,65 @@ def document_frequency(found: DataFrame) -> DataFrame:
 
 def corpus_stats(docs: DataFrame, text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """One row (n, avgdl) of all documents, those without terms included."""
-    length = tx.token_count(text_col) if tokens is None else F.size(tokens)
+    return _stats(docs, tx.token_count(text_col) if tokens is None else F.size(tokens))
+
+
+def _stats(docs: DataFrame, length: Column) -> DataFrame:
     stats = docs.agg(F.count("*").alias("n"), F.sum(length).alias("total"))
     mean = F.coalesce(F.col("total"), F.lit(0)) / F.greatest("n", F.lit(1))
     return stats.select("n", F.when(mean > 0, mean).otherwise(1.0).alias("avgdl"))
 
 
+#: Terms of a query set that are sought by a filter.
+FEW = 200
+
+
+@dataclass
+class Index:
+    """Stored postings: (doc, term, tf, len) sorted by term, and (doc, len) of every document."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+    def of(self, terms: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+        """Postings of some terms, and of some documents (id) only where they are given."""
+        wanted = terms.select("term").distinct()
+        few = wanted.limit(FEW + 1).collect()
+        # A few terms are a filter of the scan, which reads only the row groups that can hold them.
+        found = self.postings.where(F.col("term").isin([r["term"] for r in few])) if len(few) <= FEW else self.postings.join(wanted, "term", "left_semi")
+        return found if docs is None else found.join(docs.select(F.col("id").alias("doc")), "doc", "left_semi")
+
+    def stats(self, docs: DataFrame | None = None) -> DataFrame:
+        """One row (n, avgdl) of all documents, or of some (id)."""
+        own = self.lengths if docs is None else self.lengths.join(docs.select(F.col("id").alias("doc")), "doc", "left_semi")
+        return _stats(own, F.col("len"))
+
+
+def build_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokens: Column | None = None) -> Index:
+    """Postings of all documents, written once and sorted by term, so a query reads its terms' row groups. A frequent term lies in several files."""
+    held = table(docs.select(F.col(id_col).alias("doc"), (tx.tokenize(text_col) if tokens is None else tokens).alias("t")), "tokens")
+    lengths = held.select("doc", F.size("t").alias("len"))
+    each = held.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc", "term", "len").agg(F.count("*").alias("tf"))
+    dealt = each.select("doc", "term", "tf", "len").repartition("term", F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("term", "doc")
+    return Index(table(dealt, "postings"), table(lengths, "lengths"))
+
+
+_INDEXES: dict[tuple, Index] = {}
+
+
+def stored_index(spark: SparkSession, path: str, id_col: str, text: Column | str, full_text: bool = False) -> Index:
+    """The index of a Parquet table's texts, built when it is first asked for and again when the table's files have changed."""
+    files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
+    key = (spark.sparkContext.applicationId, id_col, str(text), full_text, *sorted(map(tuple, files)))
+    if key not in _INDEXES:
+        docs = spark.read.parquet(path).select(F.col(id_col).alias("id"), (F.col(text) if isinstance(text, str) else text).alias("text"))
+        cores = spark.sparkContext.defaultParallelism
+        # A small file is one split; large tables have splits enough.
+        docs = docs.repartition(cores) if len(files) < cores else docs
+        _INDEXES[key] = build_index(docs, tokens=full_text_tokens("text") if full_text else None)
+    return _INDEXES[key]
+
+
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(tx.tokenize(text_col))).alias("term"))
 

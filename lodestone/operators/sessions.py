@@ -23,19 +23,19 @@ def real_user() -> Column:
     return (F.col("type") == "user/message") & F.coalesce(F.col("kind") == "user", F.lit(False))
 
 
-def injected(block: Column) -> Column:
-    return F.coalesce((block["type"] == "text") & tx.contains_any(tx.text(block["text"]), INJECTION_MARKERS), F.lit(False))
+def injected(block: Column, markers: tuple[str, ...] = INJECTION_MARKERS) -> Column:
+    return F.coalesce((block["type"] == "text") & tx.contains_any(tx.text(block["text"]), markers), F.lit(False))
 
 
-def real_blocks(blocks: Column) -> Column:
-    """The blocks from the first one on that no plugin has put there."""
-    marks = F.transform(blocks, injected)
+def real_blocks(blocks: Column, markers: tuple[str, ...] = INJECTION_MARKERS) -> Column:
+    """The blocks from the first one on that no plugin has put there; ``markers`` is how plugins' blocks begin."""
+    marks = F.transform(blocks, lambda b: injected(b, markers))
     first = F.array_position(marks, F.lit(False))
     return F.when(first > 0, F.slice(blocks, first.cast("int"), F.size(blocks))).otherwise(F.slice(blocks, 1, 0))
 
 
-def injected_blocks(blocks: Column) -> Column:
-    return F.slice(blocks, 1, F.size(blocks) - F.size(real_blocks(blocks)))
+def injected_blocks(blocks: Column, markers: tuple[str, ...] = INJECTION_MARKERS) -> Column:
+    return F.slice(blocks, 1, F.size(blocks) - F.size(real_blocks(blocks, markers)))
 
 
 def text_of(blocks: Column, reasoning: bool = False, placeholders: bool = True) -> Column:
@@ -76,15 +76,15 @@ def endpoints(events: DataFrame, since: int = -1) -> DataFrame:
     return found.select("session", number.alias("turn_index"), "user_seq", "answer_seq", F.col("answer_seq").isNotNull().alias("complete"))
 
 
-def completed_turns(events: DataFrame, since: int = -1) -> DataFrame:
+def completed_turns(events: DataFrame, since: int = -1, markers: tuple[str, ...] = INJECTION_MARKERS) -> DataFrame:
     """The question and last visible answer of each turn that has both."""
     ends = endpoints(events, since).where("complete")
     asked = events.select("session", F.col("seq").alias("user_seq"), F.col("blocks").alias("q"))
     told = events.select("session", F.col("seq").alias("answer_seq"), F.col("blocks").alias("a"))
     found = ends.join(asked, ["session", "user_seq"]).join(told, ["session", "answer_seq"])
-    before = injected_blocks(F.col("q"))
+    before = injected_blocks(F.col("q"), markers)
     chars = F.aggregate(before, F.lit(0), lambda s, b: s + F.length(tx.text(b["text"])))
-    out = found.select("session", "turn_index", "user_seq", "answer_seq", text_of(real_blocks(F.col("q"))).alias("user_text"), text_of(F.col("a")).alias("answer_text"), F.size(before).alias("injected_blocks"), chars.alias("injected_chars"))
+    out = found.select("session", "turn_index", "user_seq", "answer_seq", text_of(real_blocks(F.col("q"), markers)).alias("user_text"), text_of(F.col("a")).alias("answer_text"), F.size(before).alias("injected_blocks"), chars.alias("injected_chars"))
     return out.where("user_text <> '' AND answer_text <> ''")
 
 
@@ -240,18 +240,12 @@ def estimate(events: DataFrame, keep: int = KEEP_TURNS) -> DataFrame:
     return sums.withColumn("saved_chars", saved).withColumns({"saved_tokens": tx.rough_tokens(F.col("saved_chars")), "saved_pct": F.when(F.col("total_chars") > 0, F.round(100 * F.col("saved_chars") / F.col("total_chars"), 1)).otherwise(0.0)})
 
 
-def marker_text(turn, session: str, seqs: list[int], chars: int, product: str = "lodestone", tokens: int | None = None) -> str:
-    """What stands in for a folded segment."""
-    short = session.removeprefix("session-")[:8]
-    amount = f"约 {int(chars / 2 + 0.5)} tokens" if tokens is None else f"~{tokens} tokens"
-    return "\n".join(
-        [
-            f'<{product}-fold turn="{turn}" events="{len(seqs)}" seq="{seqs[0]}-{seqs[-1]}">',
-            f"第 {turn} 轮的中间过程（{len(seqs)} 条事件，{amount}）不再显示；提问、最终回答和其余可见内容都在。",
-            f'原始经过：recall_events({{ session: "{short}", turn: {turn} }})，它是历史快照，不会重新运行工具。',
-            f"</{product}-fold>",
-        ]
-    )
+#: What stands in for a folded segment; any text with these fields will do.
+MARKER = "[{product}: {count} events of turn {turn} folded, {first} to {last} of session {session}, about {tokens} tokens. Call recall_events for that range to see them.]"
+
+
+def marker_text(turn, session: str, seqs: list[int], chars: int, product: str = "lodestone", tokens: int | None = None, template: str = MARKER) -> str:
+    return template.format(product=product, turn=turn, session=session.removeprefix("session-")[:8], count=len(seqs), first=seqs[0], last=seqs[-1], tokens=int(chars / 2 + 0.5) if tokens is None else tokens)
 
 
 _PLAN = "session string, turn_index int, user_seq long, answer_seq long, start long, end long, shadowed_seqs array<long>, shadowed_chars long, marker string, marker_chars long"
@@ -295,7 +289,7 @@ def fold_items(items: list[dict]) -> list[list[int]]:
     return [s for s in _segments(items) if len(s) >= 2]
 
 
-def plan_projection(events: DataFrame, keep: int = KEEP_TURNS, product: str = "lodestone") -> DataFrame:
+def plan_projection(events: DataFrame, keep: int = KEEP_TURNS, product: str = "lodestone", template: str = MARKER) -> DataFrame:
     """Segments of each session that can be replaced by markers; events need ``pos``, their place on the surface.
 
     A turn is one group of work, so a long session is spread over tasks. Turns of the last ``keep`` stay whole.
@@ -321,7 +315,7 @@ def plan_projection(events: DataFrame, keep: int = KEEP_TURNS, product: str = "l
             session, turn = group["session"].iloc[0], int(group["turn_no"].iloc[0]) - 1
             for seg in fold_items(items):
                 chars = sum(size[s] for s in seg)
-                marker = marker_text(turn, session, seg, chars, product)
+                marker = marker_text(turn, session, seg, chars, product, template=template)
                 out.append((session, turn, int(group[group["start"]]["seq"].iloc[0]), int(answer["seq"]), seg[0], seg[-1], seg, chars, marker, len(marker)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in _PLAN.split(", ")])
 

@@ -6,9 +6,10 @@ is updated in place, so a step that is run again gives the same table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,7 +116,7 @@ def by_ids(turns: DataFrame, ids: list[str]) -> DataFrame:
     """The turns of the ids, in the order given; unknown ids are skipped."""
     spark = turns.sparkSession
     asked = spark.createDataFrame(list(enumerate(ids)), "pos int, id string")
-    return turns.join(F.broadcast(asked), "id").orderBy("pos").drop("pos")
+    return turns.join(asked, "id").orderBy("pos").drop("pos")
 
 
 def replace_postings(index: DataFrame, new: DataFrame) -> DataFrame:
@@ -189,18 +190,21 @@ def watermarks(events: DataFrame) -> DataFrame:
 
 def throttle(events: DataFrame, gap_ms: int, *, by: list[str], at: str = "at", tie: str | None = None) -> DataFrame:
     """Events that fire: each key's first, and then the first at least ``gap_ms`` after the last that fired."""
-    fields = events.schema
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([at, tie] if tie else at, kind="stable")
-        keep, last = [], None
-        for t in group[at]:
-            fire = last is None or t - last >= gap_ms
-            keep.append(fire)
-            last = t if fire else last
-        return group[keep]
-
-    return events.groupBy(*by).applyInPandas(run, fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Keys follow one another in order, so a task holds the last one's state alone, whatever its rows.
+        own, last = None, None
+        for batch in batches:
+            keep = []
+            for *key, t in zip(*(batch.column(c).to_pylist() for c in (*by, at))):
+                if key != own:
+                    own, last = key, None
+                fire = last is None or (t is not None and t - last >= gap_ms)
+                keep.append(fire)
+                last = t if fire else last
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return events.repartition(*by).sortWithinPartitions(*by, at, *([tie] if tie else [])).mapInArrow(run, events.schema)
 
 
 def seen_within(events: DataFrame, ttl_ms: int, *, by: list[str], at: str = "at") -> DataFrame:

@@ -82,9 +82,24 @@ def _question(spark: SparkSession, text: str = _QUESTION) -> DataFrame:
     return spark.createDataFrame([(0, text)], "query_id int, query string")
 
 
+def _items_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    text = F.concat_ws(" ", tx.text("text"), F.concat_ws(" ", "lang", "source"))
+    return lexical.stored_index(spark, f"{sf_dir}/documents.parquet", "doc_id", text)
+
+
+def _index(spark: SparkSession, sf_dir: str, full_text: bool = False) -> lexical.Index:
+    return lexical.stored_index(spark, f"{sf_dir}/documents.parquet", "doc_id", "text", full_text)
+
+
 # ---- lexical -------------------------------------------------------------------
 
 
+@query(f"WITH {_tokens_cte(_DOCS)}, {_POST} SELECT term, df, CAST(sum(tf) AS BIGINT) AS occurrences FROM post JOIN df USING (term) GROUP BY term, df")
+def lexical_index(spark, sf_dir):
+    """What the stored postings hold; the first query that asks for them builds them."""
+    return _index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+
+
 @query(f"WITH {_tokens_cte(_DOCS)} SELECT id, CAST(len(t) AS BIGINT) AS tokens, CAST(len(list_distinct(t)) AS BIGINT) AS distinct_tokens FROM toks")
 def tokenize_counts(spark, sf_dir):
     t = _documents(spark, sf_dir).select("id", tx.tokenize("text").alias("t"))
@@ -106,9 +121,8 @@ _Q1 = f"SELECT 0 AS query_id, unnest(list_distinct(string_split('{_QUESTION}', '
 
 @query(f"WITH {_tokens_cte(_DOCS)}, {_POST}, {_bm25_sql(_Q1)} SELECT id AS doc, round(score, 6) AS score FROM sc ORDER BY round(score, 9) DESC, id LIMIT 10")
 def bm25_topk(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    terms = lexical.query_terms(_question(spark))
-    scored = lexical.bm25(lexical.postings(docs, terms=terms), lexical.corpus_stats(docs), terms)
+    index, terms = _index(spark, sf_dir), lexical.query_terms(_question(spark))
+    scored = lexical.bm25(index.of(terms), index.stats(), terms)
     return lexical.top_k(scored, 10).select("doc", F.round("score", 6).alias("score"))
 
 
@@ -120,10 +134,9 @@ toks AS (SELECT id, regexp_extract_all(translate(array_to_string(list_concat(ws,
 
 @query(f"WITH {_FTS}, {_POST}, {_bm25_sql(_Q1, 1.2, 'CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END')} SELECT id AS doc, round(score, 6) AS score FROM sc ORDER BY round(score, 9) DESC, id LIMIT 10")
 def bm25_fts_topk(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    own = lexical.full_text_tokens("text")
+    index = _index(spark, sf_dir, full_text=True)
     terms = _question(spark).select("query_id", F.explode(F.array_distinct(lexical.full_text_tokens("query"))).alias("term"))
-    scored = lexical.bm25_full_text(lexical.postings(docs, tokens=own, terms=terms), lexical.corpus_stats(docs, tokens=own), terms)
+    scored = lexical.bm25_full_text(index.of(terms), index.stats(), terms)
     return lexical.top_k(scored, 10).select("doc", F.round("score", 6).alias("score"))
 
 
@@ -132,9 +145,8 @@ def _query_set(spark, sf_dir) -> DataFrame:
 
 
 def _ranked_set(spark, sf_dir, k: int) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    terms = lexical.query_terms(_query_set(spark, sf_dir))
-    scored = lexical.bm25(lexical.postings(docs, terms=terms), lexical.corpus_stats(docs), terms)
+    index, terms = _index(spark, sf_dir), lexical.query_terms(_query_set(spark, sf_dir))
+    scored = lexical.bm25(index.of(terms), index.stats(), terms)
     return lexical.top_k(scored, k)
 
 
@@ -258,11 +270,10 @@ def graph_neighbours(spark, sf_dir):
 
 
 def _routes(spark, sf_dir) -> dict[str, DataFrame]:
-    """For each of the first items, documents by BM25 and, as another route, by shared words without weights."""
-    docs, asked = _documents(spark, sf_dir), _query_set(spark, sf_dir)
-    terms = lexical.query_terms(asked)
-    found = lexical.postings(docs, terms=terms)
-    scored = lexical.bm25(found, lexical.corpus_stats(docs), terms).withColumnRenamed("doc", "id")
+    """For each item, documents by BM25 and, as another route (in the vector route's place), by shared words without weights."""
+    index, terms = _index(spark, sf_dir), lexical.query_terms(_query_set(spark, sf_dir))
+    found = index.of(terms)
+    scored = lexical.bm25(found, index.stats(), terms).withColumnRenamed("doc", "id")
     shared = found.join(terms, "term").groupBy("query_id", F.col("doc").alias("id")).agg((F.count("*") / F.first("len")).alias("score"))
     return {"bm25": scored, "vector": shared}
 
@@ -613,7 +624,7 @@ SELECT id, level, project, round(score, 6) AS base, round(score, 6) AS score FRO
 )
 def memory_search_bm25(spark, sf_dir):
     own = td.items(spark, sf_dir).where("coalesce(status, 'active') <> 'archived'")
-    return memory.search(own, _QUESTION, td.NOW, memory.Options(mode="bm25")).select("id", "level", "project", "base", "score")
+    return memory.search(own, _QUESTION, td.NOW, memory.Options(mode="bm25"), index=_items_index(spark, sf_dir)).select("id", "level", "project", "base", "score")
 
 
 @query()
