@@ -51,3 +51,24 @@ def latest_evidence(located: DataFrame, turns: DataFrame) -> DataFrame:
     last = located.groupBy("id").agg(F.max_by(F.struct("session", "user_seq", "quote"), F.struct("edit_no", -F.col("abs"))).alias("m")).select("id", "m.*")
     own = turns.select(F.col("session_id").alias("session"), "user_seq", "turn_index")
     return last.join(own, ["session", "user_seq"], "left").select("id", "session", "user_seq", "turn_index", "quote")
+
+
+def refreshed_alignment(files: DataFrame, cached: DataFrame, read) -> DataFrame:
+    """Turn groups of log files (session, path, modified, size), those of unchanged files from ``cached`` (path, modified, size, session, abs, user_seq, quote).
+
+    ``read`` makes groups (session, abs, user_seq, quote) of the files that it is given, which are only the changed ones.
+    """
+    key = ["path", "modified", "size"]
+    held = cached.join(files.select(*key), key, "left_semi")
+    changed = files.join(cached.select(*key).distinct(), key, "left_anti")
+    fresh = read(changed).join(changed.select("session", *key), "session")
+    return held.unionByName(fresh.select(*held.columns))
+
+
+def wanted_sessions(items: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The sessions (session, ...) that any edit of the items (id, edit_history) names, by the short name or its beginning."""
+    edits = items.select(F.explode(parse_edits("edit_history")).alias("e")).where("NOT e.unparsed").select(F.col("e.session").alias("wanted")).distinct()
+    short = F.regexp_replace("session", "^session-", "")
+    own = sessions.withColumns({"__short": short, "__head": F.substring(short, 1, 4)})
+    met = own.join(edits.withColumn("__head", F.substring("wanted", 1, 4)), "__head").where(F.col("__short").startswith(F.col("wanted")))
+    return sessions.join(met.select("session").distinct(), "session", "left_semi")

@@ -195,3 +195,22 @@ def graph_route(terms: DataFrame, triples: DataFrame, query: str, candidates: Da
     scored = table(scored, "scored-turns")
     kept = scored.orderBy(F.desc("score"), "id").limit(max(1, -int(-scored.count() * keep // 1)))
     return kept.crossJoin(F.broadcast(seeds.agg(F.count("*").alias("seeds")))).where("seeds > 0").select("id", "score")
+
+
+def build_graph(nodes: DataFrame, vectors: DataFrame, path: str, *, threshold: float = THRESHOLD, k: int = NEIGHBOURS, iterations: int = ITERATIONS) -> DataFrame:
+    """Similarity edges, ranks and communities of ``vectors`` (id, vector), published under ``path``; one row that sums them up.
+
+    Edges and nodes become current only when they have been read back with as many rows as were built, and every edge ends in a node.
+    """
+    from lodestone.sources import tables
+
+    edges = table(similarity_graph(vectors, threshold=threshold, k=k), "edges")
+    labels = table(label_propagation(nodes, edges), "labels")
+    named = labels.join(communities(labels), "label").select("id", "community")
+    ranked = pagerank(nodes, edges, iterations=iterations).join(named, "id")
+    ends = both_ways(edges).select(F.col("src").alias("id")).distinct()
+    if not ends.join(nodes, "id", "left_anti").isEmpty():
+        raise ValueError("an edge ends in no node")
+    for name, part in (("edges", edges), ("nodes", ranked)):
+        tables.publish(part, f"{path}/{name}")
+    return statistics(nodes, edges, labels)

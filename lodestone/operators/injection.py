@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import lexical
+from lodestone.operators import lexical, store
 from lodestone.operators.ranking import small
 
 MAX_TURNS, MAX_CHARS, USER_CHARS, ANSWER_CHARS = 4, 2400, 420, 760
@@ -107,6 +107,69 @@ def select_memories(items: DataFrame, query: str, *, projects: list[str] | None
     return lexical.top_k(scored, k).select(F.col("doc").alias("id"), "score", "rank").join(own.drop("__text"), "id")
 
 
+def injected_text(hits: DataFrame, head: str, tail: str, *, most_chars: int = 1200, item_chars: int = ITEM_CHARS) -> DataFrame:
+    """(call_id, ids, text) of hits (call_id, rank, id, level, project, content): numbered lines that fit, one too long passed over."""
+    line = F.concat(F.lit(". ["), F.coalesce(F.nullif("level", F.lit("")), F.lit("-")), F.when(tx.text("project") != "", F.concat(F.lit("/"), "project")).otherwise(""), F.lit("] "), tx.clip(F.col("content"), item_chars))
+    number = (F.col("rank") + 1).cast("string")
+    rows = hits.withColumn("__line", F.concat(number, line))
+    packed = pack_greedy(rows, by="call_id", order="rank", size=F.length("__line"), most=most_chars, used=len(head)).where("included")
+    lines = packed.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "__line"))).alias("xs"))
+    text = F.concat_ws("\n", F.lit(head), F.array_join(F.transform("xs", lambda x: x["__line"]), "\n"), F.lit(tail))
+    return lines.select("call_id", F.transform("xs", lambda x: x["id"]).alias("ids"), text.alias("text"))
+
+
+def fire_rules(calls: DataFrame, rules: list[dict], items: DataFrame, ledger: DataFrame, now: int, *, head: str = "Memories that bear on this action:", tail: str = "They were found by a rule; pass over what doesn't matter.") -> DataFrame:
+    """(call_id, rule_id, session, ids, text): what the rules put in after tool calls (call_id, session, workspace, at, name, arguments).
+
+    A rule is a dict of rule_id, tools, pattern, query, projects, levels, k, cooldown_ms, most_chars. A call meets the first rule that fits; of the calls of
+    a rule and workspace only those fire that come a cooldown after the last; memories that the session has seen lately are left out.
+    """
+    spark = calls.sparkSession
+    schema = "ord int, rule_id string, tools array<string>, pattern string, cooldown_ms long"
+    table_ = spark.createDataFrame([(k, r["rule_id"], r.get("tools"), r.get("pattern"), int(r.get("cooldown_ms", COOLDOWN_MS))) for k, r in enumerate(rules)], schema)
+    met = match_rules(calls, table_).select("call_id", "session", "workspace", "at", "rule_id")
+    out = None
+    for r in rules:  # rules are configuration, few whatever the data
+        own = met.where(F.col("rule_id") == r["rule_id"])
+        fired = store.throttle(own, int(r.get("cooldown_ms", COOLDOWN_MS)), by=["workspace"], tie="call_id")
+        best = select_memories(items, r["query"], projects=r.get("projects"), levels=r.get("levels"), k=r.get("k", 3)).select("id", "rank", "level", "project", "content")
+        hits = not_injected(fired.crossJoin(small(best)), ledger, now)
+        text = injected_text(hits, head, tail, most_chars=r.get("most_chars", 1200))
+        told = fired.join(text, "call_id").select("call_id", "rule_id", "session", "ids", "text")
+        out = told if out is None else out.unionByName(told)
+    return out if out is not None else met.select("call_id", "rule_id", "session", F.array().cast("array<string>").alias("ids"), F.lit("").alias("text")).limit(0)
+
+
+def relayed(asked: DataFrame, sessions: DataFrame, said: DataFrame, *, trigger: str, most_turns: int = 3, most_age_ms: int = 86_400_000, done: DataFrame | None = None, **limits) -> DataFrame:
+    """(session, source, text): the last dialogue of another session for each session whose user asks to go on.
+
+    ``asked`` is (session, turn, at, text), turns from 1: the first that meets ``trigger`` within ``most_turns`` turns counts, once a session
+    (``done`` names those that had theirs). ``sessions`` is (session, modified): of main sessions not modified after that, the newest that isn't too old is taken.
+    """
+    first = asked.where((F.col("turn") <= most_turns) & F.col("text").rlike(trigger) & F.col("session").startswith("session-")).groupBy("session").agg(F.min_by("at", "turn").alias("at"))
+    first = first if done is None else first.join(done.select("session"), "session", "left_anti")
+    other = sessions.where(F.col("session").startswith("session-")).select(F.col("session").alias("source"), "modified")
+    near = first.join(other, (F.col("source") != F.col("session")) & (F.col("modified") <= F.col("at")) & (F.col("at") - F.col("modified") <= most_age_ms))
+    newest = near.groupBy("session").agg(F.max(F.struct("modified", "source")).alias("m")).select("session", F.col("m.source").alias("source"))
+    lines = relay_lines(said.join(newest.select(F.col("source").alias("session")).distinct(), "session", "left_semi"), **limits)
+    texts = lines.groupBy(F.col("session").alias("source")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return newest.join(texts, "source").select("session", "source", "text")
+
+
+def decision(decisions: DataFrame, decision_id: str) -> DataFrame:
+    return decisions.where(F.col("id") == decision_id)
+
+
+def append_decisions(decisions: DataFrame, rows: DataFrame, now: int, most: int = 500) -> DataFrame:
+    """Decisions with new ones recorded, the newest ``most`` of them."""
+    return keep_decisions(decisions.unionByName(record_decision(rows, now)), most)
+
+
+def as_list(c: Column | str) -> Column:
+    """A comma-separated text as a list of its parts that aren't blank."""
+    return F.filter(F.transform(F.split(tx.text(c), ","), tx.trim), lambda x: x != "")
+
+
 def not_injected(hits: DataFrame, ledger: DataFrame, now: int, ttl_ms: int = 1_800_000) -> DataFrame:
     """Hits (session, id) that the session hasn't seen within the time; the ledger is (session, id, at)."""
     live = ledger.where(now - F.col("at") <= ttl_ms).select("session", "id").distinct()

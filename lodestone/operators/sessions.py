@@ -351,6 +351,33 @@ def usage_peaks(events: DataFrame) -> DataFrame:
     return events.where("usage IS NOT NULL").groupBy("session").agg(F.coalesce(F.max(F.when(~compact, size)), F.lit(0)).alias("normal_peak"), F.coalesce(F.max(F.when(compact, size)), F.lit(0)).alias("compaction_peak"))
 
 
+def largest_logs(files: DataFrame, limit: int = 5) -> DataFrame:
+    """The ``limit`` largest log files (session, size)."""
+    return files.orderBy(F.desc("size"), "session").limit(limit)
+
+
+def projected_size(events: DataFrame, *, fresh: int = 3, archive_tokens: int = 60, trace_tokens: int = 40) -> DataFrame:
+    """One row a session: rough tokens of all, after turns before the last ``fresh`` give way to one marker, and after the
+    inner events of the rest's turns, between question and last answer, give way to a marker each.
+    """
+    size = tx.rough_tokens(event_chars())
+    placed = with_turn(events, "pos").withColumn("tokens", size)
+    rows = placed.join(placed.groupBy("session").agg(F.max("turn_no").alias("last_turn")), "session")
+    kept_from = F.when(F.col("last_turn") > fresh, F.col("last_turn") - fresh + 1).otherwise(F.lit(0))
+    lone_head = (F.col("type") == "system/message") & (F.col("turn_no") == 0)
+    old = (F.col("turn_no") < kept_from) & ~lone_head
+    by_turn = Window.partitionBy("session", "turn_no")
+    answer = F.max(F.when(visible_text(), F.col("pos"))).over(by_turn)
+    start = F.min(F.when(real_user(), F.col("pos"))).over(by_turn)
+    rows = rows.withColumns({"old": old, "answer": answer, "start": start})
+    inner = ~F.col("old") & (F.col("turn_no") > 0) & (F.col("pos") > F.col("start")) & (F.col("pos") < F.col("answer"))
+    rows = rows.withColumn("inner", F.coalesce(inner, F.lit(False)))
+    add = lambda c: F.coalesce(F.sum(F.when(c, F.col("tokens"))), F.lit(0))
+    sums = rows.groupBy("session").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("original"), add(F.col("old")).alias("archived"), F.max(F.col("old").cast("int")).alias("any_old"), add(F.col("inner")).alias("traces"), F.count_distinct(F.when(F.col("inner"), F.col("turn_no"))).alias("trace_turns"))
+    prefix = F.col("original") - F.col("archived") + F.col("any_old") * archive_tokens
+    return sums.select("session", "original", prefix.alias("folded_prefix"), (prefix - F.col("traces") + F.col("trace_turns") * trace_tokens).alias("projected"), "trace_turns")
+
+
 def paired_spans(events: DataFrame) -> DataFrame:
     """(session, seq, calls, results, complete): assistant messages with calls, and whether the results that follow at once answer all of them."""
     w = Window.partitionBy("session").orderBy("seq")

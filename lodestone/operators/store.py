@@ -138,6 +138,36 @@ def stale_vectors(turns: DataFrame, vectors: DataFrame) -> DataFrame:
     return hashed.join(vectors.select(F.col("turn_id").alias("id"), "content_hash"), ["id", "content_hash"], "left_anti")
 
 
+def refresh_index(entries: DataFrame, rows: DataFrame, embedded: DataFrame, keep: tuple[str, ...] = ("level", "project", "keywords")) -> DataFrame:
+    """The index (id, updated_at, vector, ``keep``...) as of ``rows``: entries of rows that are gone go, unchanged ones keep their vector and get
+    the row's present values, and new and changed ones take theirs from ``embedded`` (id, vector); one without a vector there waits for the next time.
+    """
+    change = index_diff(entries, rows)
+    now = rows.select("id", "updated_at", *keep).join(change, "id")
+    same = now.where("change = 'same'").join(entries.select("id", "vector"), "id")
+    fresh = now.where("change IN ('new', 'changed')").join(embedded.select("id", "vector"), "id")
+    return same.unionByName(fresh).select("id", "updated_at", "vector", *keep)
+
+
+def to_embed(entries: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows whose text has to be embedded anew."""
+    return rows.join(index_diff(entries, rows).where("change IN ('new', 'changed')").select("id"), "id", "left_semi")
+
+
+def upsert_vectors(vectors: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """Vectors (turn_id, content_hash, embedding, updated_at) with those of ``new`` (turn_id, text, embedding) in place; null and empty ones aren't stored."""
+    own = new.where("embedding IS NOT NULL AND octet_length(embedding) > 0").select("turn_id", content_hash(F.col("text")).alias("content_hash"), "embedding", F.lit(now).cast("long").alias("updated_at"))
+    return vectors.join(own.select("turn_id"), "turn_id", "left_anti").unionByName(own)
+
+
+def snapshot(counted: dict[str, DataFrame], turns: DataFrame, now: int, built_at: int | None = None) -> DataFrame:
+    """One row: rows of each table, distinct sessions, and days since a build."""
+    out = turns.agg(F.count("*").alias("turns"), F.count_distinct("session_id").alias("sessions"))
+    for name, df in counted.items():
+        out = out.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))
+    return out.withColumn("stale_days", F.lit(None if built_at is None else round((now - built_at) / 86_400_000, 1)).cast("double"))
+
+
 def level_items(tables: dict[str, DataFrame], *, keep_null_status: bool = False, least_chars: int = 0) -> DataFrame:
     """Items of all levels with their level; archived ones go, and so do those without a status unless asked to stay."""
     parts = [df.withColumn("level", F.lit(level)) for level, df in tables.items()]

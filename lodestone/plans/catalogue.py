@@ -38,10 +38,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from lodestone.plans import catalogue_store  # noqa: F401  (its queries add themselves)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -627,7 +630,39 @@ def memory_search_bm25(spark, sf_dir):
     return memory.search(own, _QUESTION, td.NOW, memory.Options(mode="bm25"), index=_items_index(spark, sf_dir)).select("id", "level", "project", "base", "score")
 
 
-@query()
+_ASKED = _QUESTION + " v2.3.1"
+_SUPERSEDED = f"""WITH {_tokens_cte("SELECT id, concat_ws(' ', keywords, substr(content, 1, 200)) AS text FROM items WHERE id IN (SELECT id FROM merged)")},
+d AS (SELECT toks.id, updated_at, list_distinct(t) AS t FROM toks JOIN items ON items.id = toks.id), e AS (SELECT id, updated_at, len(t) AS n, unnest(t) AS k FROM d),
+p AS (SELECT a.id AS x, b.id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM e a JOIN e b ON a.k = b.k AND b.updated_at - a.updated_at >= {7 * td.DAY} GROUP BY 1, 2)
+SELECT DISTINCT x AS id FROM p WHERE c * 1.0::DOUBLE / (na + nb - c) >= 0.45"""
+
+
+def _memory_sql() -> str:
+    steps = []
+    for i in range(1, 21):
+        steps.append(f"q{i} AS MATERIALIZED (SELECT p.id, p.t, 0.15 * p.t + 0.85 * coalesce(g.got, 0) + 0.85 * p.t * (SELECT coalesce(sum(rank), 0) FROM q{i - 1} WHERE id NOT IN (SELECT src FROM share)) AS rank FROM q{i - 1} p LEFT JOIN (SELECT dst, sum(rank * s) AS got FROM share JOIN q{i - 1} ON id = src GROUP BY dst) g ON g.dst = p.id)")
+    return f"""WITH {td.ITEMS.replace("FROM documents)", "FROM documents), own AS (SELECT * FROM items WHERE coalesce(status, 'active') <> 'archived')")}, {_tokens_cte("SELECT id, concat_ws(' ', content, keywords) AS text FROM own")}, {_POST},
+qs AS (SELECT 0 AS query_id, unnest(list_distinct({_tokens(f"'{_ASKED}'")})) AS term), {_bm25_sql("SELECT * FROM qs")},
+{_PAIRS}, arcs AS (SELECT a AS src, b AS dst, w FROM edges UNION ALL SELECT b, a, w FROM edges), share AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS s FROM arcs),
+vr AS (SELECT own.id, coalesce(list_dot_product(v.e, (SELECT e FROM v WHERE id = 0)) / (v.n * (SELECT n FROM v WHERE id = 0) + 1e-9), 0) AS score FROM own LEFT JOIN v USING (id)),
+ranks AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM vr UNION ALL SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1 FROM sc),
+rrf AS (SELECT id, sum(1.0::DOUBLE / (61 + rank)) AS base FROM ranks WHERE rank < 50 GROUP BY id),
+fs AS (SELECT user_id AS src, CAST(contains(strftime(ts, '%Y-%m-%d') || 'v2.' || (event_id % 9) || '.1', 'v2.3.1') AS INTEGER) AS c FROM events),
+fr AS (SELECT src AS id, max(0.5 + least(1.0, 0.2 * c)) AS score, count(*) AS hits FROM fs WHERE c > 0 GROUP BY src ORDER BY score DESC, hits DESC, id LIMIT 10),
+fb AS (SELECT id, 0.005 + least(1.5, CAST(score AS DOUBLE)) * 0.01 AS facts FROM fr WHERE id IN (SELECT id FROM own)),
+sd AS (SELECT id, greatest(0.01, CASE WHEN score <> 0 THEN score ELSE 0.5 END) AS weight FROM (SELECT * FROM vr ORDER BY score DESC, id LIMIT 8)),
+tele AS (SELECT id, weight / (SELECT sum(weight) FROM sd WHERE id IN (SELECT id FROM v)) AS t FROM sd WHERE id IN (SELECT id FROM v)),
+q0 AS MATERIALIZED (SELECT v.id, coalesce(t, 0) AS t, coalesce(t, 0) AS rank FROM v LEFT JOIN tele USING (id)), {", ".join(steps)},
+tp AS (SELECT id, rank, max(rank) OVER () AS most FROM (SELECT id, rank FROM q20 WHERE id IN (SELECT id FROM own) ORDER BY rank DESC, id LIMIT 20)),
+pb AS (SELECT id, least(1.0, rank / most) * 0.01 AS ppr FROM tp WHERE most > 0 AND rank / most >= 0.1),
+merged AS (SELECT coalesce(rrf.id, fb.id, pb.id) AS id, coalesce(base, 0) AS base, coalesce(facts, 0) AS facts, coalesce(ppr, 0) AS ppr FROM rrf FULL JOIN fb ON rrf.id = fb.id FULL JOIN pb ON coalesce(rrf.id, fb.id) = pb.id),
+gone AS ({_SUPERSEDED}),
+w AS (SELECT m.*, own.level, own.project, own.updated_at, CASE WHEN own.level IN ('project', 'topic') THEN 0.5 + 0.5 * exp(-greatest(0, {td.NOW} - own.updated_at) / (30.0 * {td.DAY})) ELSE 1.0 END AS weight, gone.id IS NOT NULL AS superseded FROM merged m JOIN own ON own.id = m.id LEFT JOIN gone ON gone.id = m.id)
+SELECT id, level, project, updated_at, round(base, 6) AS base, round(facts, 6) AS facts, round(ppr, 6) AS ppr, round(weight, 6) AS weight, superseded, round(base + facts + ppr, 6) AS relevance, round((base + facts + ppr) * weight, 6) AS score
+FROM w ORDER BY superseded, (base + facts + ppr) * weight DESC, id LIMIT 10"""
+
+
+@query(_memory_sql())
 def memory_search(spark, sf_dir):
     own = td.items(spark, sf_dir).where("coalesce(status, 'active') <> 'archived'")
     vs = td.vectors(spark, sf_dir)
@@ -636,15 +671,7 @@ def memory_search(spark, sf_dir):
     # Facts were taken from the items as they are now.
     times = own.select(F.col("id").alias("src"), F.col("updated_at").alias("src_updated_at"))
     known = _facts(spark, sf_dir).withColumn("src", F.col("src").cast("long")).drop("src_updated_at").join(times, "src", "left")
-    return memory.search(own, _QUESTION + " v2.3.1", td.NOW, memory.Options(k=10, recency_days=30), vectors=vs, query_vector=q, facts=known, nodes=nodes, edges=edges)
-
-
-@query()
-def term_graph_edges(spark, sf_dir):
-    terms, flat = td.triples(spark, sf_dir)
-    edges, _ = graph.term_graph(flat)
-    names = terms.select("id", "normalized")
-    return edges.join(names.select(F.col("id").alias("a"), F.col("normalized").alias("term_a")), "a").join(names.select(F.col("id").alias("b"), F.col("normalized").alias("term_b")), "b").select(F.least("term_a", "term_b").alias("term_a"), F.greatest("term_a", "term_b").alias("term_b"))
+    return memory.search(own, _ASKED, td.NOW, memory.Options(k=10, recency_days=30), vectors=vs, query_vector=q, facts=known, nodes=nodes, edges=edges)
 
 
 @query("SELECT item_id, count(DISTINCT w) AS terms FROM benchmark JOIN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM conversations) ON contains(lower(text), w) GROUP BY item_id")

@@ -80,3 +80,28 @@ numbered AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PART
 ends AS (SELECT session, t, min(seq) AS user_seq, max(seq) FILTER (role = 'assistant' AND trim(text) <> '') AS answer_seq, max(seq) AS last, count(*) AS events FROM numbered WHERE t > 0 GROUP BY session, t),
 turns AS (SELECT e.session, CAST(e.t - 1 AS INTEGER) AS turn_index, e.user_seq, e.answer_seq, trim(q.text) AS user_text, trim(a.text) AS answer_text
   FROM ends e JOIN log q ON q.session = e.session AND q.seq = e.user_seq JOIN log a ON a.session = e.session AND a.seq = e.answer_seq WHERE trim(q.text) <> '')"""
+
+
+def tool_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log with tools, a session a user: views are questions, clicks steps that call a tool, errors results that name the
+    event before them as their call, purchases answers, and sign-ups starts of turns."""
+    from pyspark.sql import Window
+
+    e = read(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    block = lambda t, text=None, **more: F.struct(F.lit(t).alias("type"), (F.lit(None).cast("string") if text is None else text).alias("text"), *[more.get(n, F.lit(None).cast("string")).alias(n) for n in ("id", "name", "arguments")])
+    own = F.col("event_id").cast("string")
+    call = block("tool-call", id=own, name=F.lit("run"), arguments=F.col("props"))
+    blocks = F.when(kind == "click", F.array(block("reasoning", F.col("props")), call)).when(kind != "signup", F.array(block("text", F.col("props"))))
+    named = F.when(kind == "view", "user/message").when(kind.isin("click", "purchase"), "assistant/message").when(kind == "error", "tool/result").otherwise("turn/start")
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).cast("string")
+    missing = {"name": "string", "arguments": "string", "turn": "int", "step": "int", "shadowed_seqs": "array<long>", "shadowed_tokens": "long", "raw": "string", "usage": "struct<input: bigint, output: bigint, cache_read: bigint>"}
+    return e.select(
+        F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.col("event_id").alias("pos"), named.alias("type"), F.when(kind == "view", "user").alias("kind"), blocks.alias("blocks"),
+        F.when(kind == "error", before).alias("call_id"), F.when(kind == "error", F.lit(False)).alias("is_error"), *[F.lit(None).cast(t).alias(n) for n, t in missing.items()],
+    )
+
+
+TOOLS = """tools AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, event_type AS e, props AS text, lag(event_id) OVER w AS prev,
+  lead(event_type) OVER w AS e1, lead(event_type, 2) OVER w AS e2, lead(props) OVER w AS text1,
+  sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""

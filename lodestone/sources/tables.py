@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,11 +14,15 @@ from lodestone.functions import text as tx
 
 
 def publish(df: DataFrame, path: str) -> str:
-    """Write a new version of a table, read it back, and only then name it as the current one."""
+    """Write a new version of a table, read all of it back, and only then name it as the current one."""
     spark = df.sparkSession
     version = f"{path}/v{time.time_ns()}"
-    df.write.parquet(version)
-    spark.read.parquet(version).limit(1).count()
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(version)
+    back = spark.read.parquet(version)
+    # Every column is read, so a page that can't be is found now; nothing else sees the version yet.
+    if back.agg(F.count("*"), F.max(F.xxhash64(*[F.to_json(F.struct(c)) for c in back.columns]))).first()[0] != seen.get["rows"]:
+        raise OSError(f"{version} has fewer rows than were written")
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{path}/_versions")
     return version
 
@@ -38,8 +42,37 @@ def read_document(spark: SparkSession, path: str, field: str, schema: str) -> Da
     return docs.select(F.inline(field))
 
 
-def append_ledger(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+def migrate(df: DataFrame, version: int, steps: list[Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, int]:
+    """A table of schema ``version`` brought to that of all ``steps``, of which the first ``version`` are done."""
+    if not 0 <= version <= len(steps):
+        raise ValueError(f"the table's version {version} is newer than this engine's {len(steps)}")
+    for step in steps[version:]:
+        df = step(df)
+    return df, len(steps)
+
+
+def append_ledger(df: DataFrame, path: str, *, most: int | None = None) -> None:
+    """Append rows as JSON lines; no more than ``most`` of a batch, the last by ``at``, where it is given."""
+    (df if most is None else df.orderBy(F.desc("at")).limit(most)).write.mode("append").json(path)
+
+
+def shadow_rows(recalled: DataFrame, *, injected: bool = False, head: int = 200) -> DataFrame:
+    """Recalls (session, turn, step, query, results, included, skipped, text) as they are logged: sizes, and heads with secrets redacted."""
+    cut = lambda c: F.substring(tx.redact(tx.text(c)), 1, head)
+    would = tx.text("text") != ""
+    return recalled.select("session", "turn", "step", cut("query").alias("query"), F.length(tx.text("query")).alias("query_chars"), "results", would.alias("would_inject"), (would & F.lit(injected)).alias("injected"), F.length(tx.text("text")).alias("chars"), "included", "skipped", cut("text").alias("head"))
+
+
+def profile_patches(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(profile, path) of the files of a name, one in each profile's folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root).select("path")
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("profile"), "path")
+
+
+def settings_snippet(values: dict[str, object], plugin_id: str, plugin_name: str, indent: int = 0) -> str:
+    """Settings as YAML lines that can be put into a profile's patch."""
+    lines = [f"- id: {plugin_id}", f"  name: '{plugin_name}'", "  config:", *(f"    {k}: {v}" for k, v in values.items())]
+    return "\n".join(" " * indent + x for x in lines)
 
 
 def embed(texts: DataFrame, service: Callable[[list[str]], Sequence[Sequence[float]] | None], *, text_col: str = "text", batch: int = 32, tries: int = 4, pause: float = 0.5) -> DataFrame:
@@ -74,7 +107,13 @@ def compaction_settings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_defaults(values: Column, defaults: dict[str, str]) -> Column:
-    return F.map_concat(F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv]), F.coalesce(values, F.create_map().cast("map<string,string>")))
+    given = F.coalesce(values, F.create_map().cast("map<string,string>"))
+    return F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(F.try_element_at(given, F.lit(k)), F.lit(v)).alias("value")) for k, v in defaults.items()]))
+
+
+def untouched(values: Column) -> Column:
+    """Whether nothing is set, so all defaults hold."""
+    return F.coalesce(F.size(values) == 0, F.lit(True))
 
 
 def session_titles(spark: SparkSession, path: str) -> DataFrame:
