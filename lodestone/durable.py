@@ -27,4 +27,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._table_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that nothing needs any more: whatever was made of them has been written in its turn."""
+    for df in tables:
+        path, session = getattr(df, "_table_path", None), df.sparkSession
+        if path and hasattr(session, "_jvm"):
+            where = session._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(session._jsc.hadoopConfiguration()).delete(where, True)

@@ -44,7 +44,7 @@ FUNCTIONS = {
 def register(spark: SparkSession) -> list[str]:
     """Make the functions known to SQL of this session, and return their names.
 
-    Each is a temporary function whose body is SQL, so plans hold built-in functions alone; ``inline(mem_parse_edits(x))`` is a table.
+    Each is a temporary function whose body is SQL, so plans hold built-in functions alone; ``inline`` of a column of mem_parse_edits is a table.
     """
     probe = spark.createDataFrame([], "x string")
     for name, (kind, body) in FUNCTIONS.items():

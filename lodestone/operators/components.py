@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.durable import table
+from lodestone.durable import discard, table
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         large = table(large, "links")
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, large.a == least.u).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).where("a <> b").distinct()
-        edges = table(small, "links")
+        before, edges = edges, table(small, "links")
+        discard(before, large)
         now = _state(edges)
         if now == state:
             break

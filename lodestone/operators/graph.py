@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.durable import table
+from lodestone.durable import discard, table
 from lodestone.operators.components import components
 from lodestone.operators.ranking import placed
 from lodestone.operators.vectors import similar_pairs
@@ -45,14 +45,17 @@ def _rank(nodes: DataFrame, edges: DataFrame, teleport: DataFrame, *, damping: f
     base = table(base.select("id", "t", F.coalesce("linked", F.lit(False)).alias("linked")), "ranked-nodes")
     # Nodes without edges get nothing but teleports, so what they lose is a recurrence of one number.
     own = float(base.where("NOT linked").agg(F.sum("t")).first()[0] or 0.0) if dangling else 0.0
-    ranks, lost = base.select("id", "t", F.col("t").alias("rank")), own
+    ranks, lost, ranks_written = base.select("id", "t", F.col("t").alias("rank")), own, None
     for i in range(iterations):
         sent = arcs.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         rank = (1 - damping) * F.col("t") + damping * F.coalesce("got", F.lit(0.0)) + damping * lost * F.col("t")
         ranks = base.join(sent, "id", "left").select("id", "t", rank.alias("rank"))
         lost = own * ((1 - damping) + damping * lost)
         if (i + 1) % CUT_EVERY == 0:
-            ranks = table(ranks, "ranks")
+            before, ranks = ranks_written, table(ranks, "ranks")
+            if before is not None:
+                discard(before)
+            ranks_written = ranks
     return ranks.select("id", "rank")
 
 

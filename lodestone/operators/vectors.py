@@ -7,10 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.durable import table
+
 #: Vectors in a block of the blocked join.
 BLOCK = 1024
 
@@ -29,7 +32,7 @@ def cosine(a: Column, b: Column, guard: float = 1e-9) -> Column:
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def blob_to_vector(blobs: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats; a torn tail is dropped."""
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4", len(b) // 4).tolist())
+    return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4", len(b) // 4))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -37,26 +40,34 @@ def vector_to_blob(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
+#: Bytes of blocks that a task of Python holds at once.
+BATCH_BYTES = 8 << 20
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def top_similar(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(query_id, id, score, rank): each query vector's k nearest of the corpus by exact cosine.
 
-    Queries are cut into bounded blocks, each met with the corpus by partitions; a task keeps k a query.
+    Queries are cut into bounded blocks, each met with the corpus by blocks; a pair of blocks gives k a query.
     """
-    blocks = _blocks(queries.select(F.col("query_id").alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
+    asked = _blocks(queries.select(F.col("query_id").alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
     held = _blocks(corpus.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
-    pairs = blocks.select(F.col("ids").alias("q"), F.col("vectors").alias("x"), F.col("dim").alias("dq")).crossJoin(held.select(F.col("ids").alias("c"), F.col("vectors").alias("y"), F.col("dim").alias("dc"))).where("dq = dc")
+    pairs = _met(asked, held)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                s = _unit(row["x"], row["dq"]) @ _unit(row["y"], row["dc"]).T
-                ids = np.array(row["c"])
+                s = _unit(row["x"], row["dim"]) @ _unit(row["y"], row["dim"]).T
+                q, ids = np.array(row["p"]), np.array(row["q"])
                 n = min(k, len(ids))
-                for q, scores in zip(row["q"], s):
-                    order = np.lexsort((ids, -scores))[:n]
-                    yield pa.RecordBatch.from_arrays([pa.array([q] * n), pa.array(ids[order]), pa.array(scores[order])], names=["query_id", "id", "score"])
+                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "id", "score"])
 
-    found = pairs.mapInArrow(best, "query_id long, id long, score double")
+    found = _bounded(pairs).mapInArrow(best, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank - 1).where(F.col("rank") < k)
 
@@ -67,50 +78,66 @@ def _unit(raw: bytes, dim: int) -> np.ndarray:
 
 
 def _blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(ids, vectors, dim): runs of at most ``size`` vectors of one length as bytes, cut within partitions."""
+    """(dim, ids, vectors): runs of at most ``size`` vectors of one length as bytes, cut within batches; empty ones and ones with nulls go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[int], list[bytes]]] = {}
-
-        def out(dim: int) -> pa.RecordBatch:
-            ids, found = held.pop(dim)
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([b"".join(found)], pa.binary()), pa.array([dim], pa.int32())], names=["ids", "vectors", "dim"])
-
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not v:
-                    continue
-                ids, found = held.setdefault(len(v), ([], []))
-                ids.append(i)
-                found.append(np.array(v, np.float64).tobytes())
-                if len(ids) >= size:
-                    yield out(len(v))
-        for dim in list(held):
-            yield out(dim)
+            ids, column = batch.column(0), batch.column(1)
+            sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes[sizes > 0]).astype(int).tolist():
+                own = np.flatnonzero(sizes == dim)
+                values = column.take(pa.array(own)).flatten()
+                if values.null_count:
+                    whole = np.flatnonzero(~np.isnan(np.where(values.is_null(), np.nan, 0.0)).reshape(-1, dim).any(1))
+                    own = own[whole]
+                    values = column.take(pa.array(own)).flatten()
+                x = values.to_numpy(zero_copy_only=False).reshape(-1, dim)
+                held = ids.take(pa.array(own)).to_pylist()
+                for lo in range(0, len(own), size):
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([held[lo : lo + size]], pa.list_(pa.int64())), pa.array([x[lo : lo + size].tobytes()], pa.binary())], names=["dim", "ids", "vectors"])
+
+    return _bounded(vectors).mapInArrow(run, "dim int, ids array<long>, vectors binary")
+
+
+def _met(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """(dim, a, p, x, b, q, y): pairs of blocks of one length, every one or, of a table with itself, each once.
+
+    The pairs are made of the blocks' numbers; what the blocks hold is then brought to them by number, so no key is hot.
+    """
+    x = table(left.withColumn("a", F.monotonically_increasing_id()), "vector-blocks")
+    y = x.withColumnRenamed("a", "b") if right is None else table(right.withColumn("b", F.monotonically_increasing_id()), "vector-blocks")
+    numbers = x.select("dim", "a").join(y.select("dim", "b"), "dim")
+    numbers = numbers.where("a <= b") if right is None else numbers
+    met = numbers.join(x.select("a", F.col("ids").alias("p"), F.col("vectors").alias("x")), "a")
+    return met.join(y.select("b", F.col("ids").alias("q"), F.col("vectors").alias("y")), "b")
+
 
-    return vectors.mapInArrow(run, "ids array<long>, vectors binary, dim int")
+def _nearest(a: np.ndarray, b: np.ndarray, s: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(src, dst, w): of each row of ``s`` the k largest that are ``least`` or more, ties to the smaller id."""
+    i, j = np.nonzero((s >= least) & (a[:, None] != b[None]))
+    order = np.lexsort((b[j], -s[i, j], i))
+    i, j = i[order], j[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    i, j = i[place < k], j[place < k]
+    return a[i], b[j], s[i, j]
 
 
 def similar_pairs(vectors: DataFrame, least: float, k: int, *, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """(src, dst, w): each vector's k nearest others of cosine ``least`` or more; ties go to the smaller id."""
+    """(src, dst, w): each vector's k nearest others of cosine ``least`` or more; ties go to the smaller id.
+
+    Every pair of blocks is met once and gives both directions; no threshold as low as a graph's lets pairs be left out.
+    """
     held = _blocks(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
-    pairs = held.select(F.col("ids").alias("a"), F.col("vectors").alias("x"), F.col("dim").alias("da")).crossJoin(held.select(F.col("ids").alias("b"), F.col("vectors").alias("y"), F.col("dim").alias("db"))).where("da = db")
+    pairs = _met(held)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                s = _unit(row["x"], row["da"]) @ _unit(row["y"], row["db"]).T
-                a, b = np.array(row["a"]), np.array(row["b"])
-                s[a[:, None] == b[None]] = -2
-                src, dst, w = [], [], []
-                for i, scores in enumerate(s):
-                    found = np.flatnonzero(scores >= least)
-                    found = found[np.lexsort((b[found], -scores[found]))[:k]]
-                    src += [a[i]] * len(found)
-                    dst += b[found].tolist()
-                    w += scores[found].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(w, pa.float64())], names=["src", "dst", "w"])
-
-    found = pairs.mapInArrow(near, "src long, dst long, w double")
+                s = _unit(row["x"], row["dim"]) @ _unit(row["y"], row["dim"]).T
+                a, b = np.array(row["p"]), np.array(row["q"])
+                sides = [_nearest(a, b, s, least, k)] + ([_nearest(b, a, s.T, least, k)] if row["a"] != row["b"] else [])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*sides)], names=["src", "dst", "w"])
+
+    found = _bounded(pairs).mapInArrow(near, "src long, dst long, w double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
