@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import shared_path, table
+from ..durable import discard, shared_path, table
 
-__all__ = ["by_batch", "fitted", "fold", "input_partitions", "range_of", "release", "session", "shared_path", "table", "text_bytes", "tidy"]
+__all__ = ["by_batch", "discard", "fitted", "fold", "input_partitions", "range_of", "release", "session", "shared_path", "table", "text_bytes", "tidy"]
 
 #: Rows and bytes of one Arrow batch; a batch ends with the row that passes either.
 ARROW_ROWS, ARROW_BYTES = 256, 1 << 21
