@@ -119,6 +119,12 @@ def doc_lengths(spark, sf_dir):
     return lexical.corpus_stats(_documents(spark, sf_dir)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
+@query(f"WITH {_tokens_cte("SELECT doc_id AS id, concat_ws(' ', text, lang, source) AS text FROM documents")} SELECT id AS doc, CAST(len(t) AS BIGINT) AS len FROM toks")
+def items_index(spark, sf_dir):
+    """How long the items are in the stored postings of their contents and keywords."""
+    return _items_index(spark, sf_dir).lengths.select("doc", F.col("len").cast("long").alias("len"))
+
+
 _Q1 = f"SELECT 0 AS query_id, unnest(list_distinct(string_split('{_QUESTION}', ' '))) AS term"
 
 

@@ -641,6 +641,15 @@ def latest_evidence(spark, sf_dir):
     return evidence.latest_evidence(located, turns).select("id", F.col("user_seq").cast("long").alias("user_seq"), "turn_index")
 
 
+@query(f"WITH {td.TURNS}, g AS (SELECT session, t, user_seq FROM ends JOIN log l USING (session) WHERE l.seq = user_seq AND trim(l.text) <> '' AND t <= 2), m AS (SELECT session, min(t) AS t FROM g GROUP BY 1), e AS (SELECT CAST(g.session AS BIGINT) AS id, g.user_seq FROM m JOIN g USING (session, t)) SELECT d.doc_id AS id, e.user_seq FROM documents d LEFT JOIN e ON e.id = d.doc_id")
+def memory_evidence(spark, sf_dir):
+    """Items of the numbers of conversations come from these."""
+    located = table(evidence.locate(_edits(spark, sf_dir), _groups(spark, sf_dir)), "located")
+    turns = spark.createDataFrame([], "session_id string, user_seq double, turn_index int")
+    found = memory.with_evidence(td.items(spark, sf_dir).select("id"), located, turns)
+    return found.select("id", F.col("evidence.user_seq").cast("long").alias("user_seq"))
+
+
 @query("SELECT DISTINCT 'session-' || lpad(CAST(conv_id AS VARCHAR), 4, '0') AS session FROM conversations WHERE conv_id < 40")
 def wanted_sessions(spark, sf_dir):
     logs = _groups(spark, sf_dir).select("session").distinct()

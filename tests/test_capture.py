@@ -159,3 +159,13 @@ def test_whole_places_of_a_session(spark):
     events = spark.createDataFrame([("s", k, k, "user/message" if k % 3 == 0 else "assistant/message", "user" if k % 3 == 0 else None, [("text", "abcd", None, None, None)], None) for k in range(9)], f"session string, seq long, pos long, type string, kind string, blocks {BLOCK}, raw string")
     got = sessions.projected_size(events, fresh=1, archive_tokens=5, trace_tokens=1).first()
     assert (got["original"], got["folded_prefix"], got["projected"], got["trace_turns"]) == (18, 11, 10, 1)
+
+
+def test_options_are_kept_within_bounds():
+    from lodestone.functions import options
+    from lodestone.plans import recall
+
+    o = recall.Options.of({"k": "99", "pool": float("nan"), "mode": "odd", "gap": 0, "weights": {"vector": -1, "graph": "x"}, "echo_penalty": "yes", "session": "  s ", "min_query_chars": True})
+    assert (o.k, o.pool, o.mode, o.gap, o.echo_penalty, o.session, o.min_query_chars) == (20, 10, "gated", 1.0, False, "s", 4)
+    assert o.weights == {"bm25": 1.0, "vector": 0.0, "graph": 0.8}
+    assert options.names("topic, none,fact", ("fact", "topic")) == ("topic", "fact") and options.names(None, ("a",)) == ("a",)
