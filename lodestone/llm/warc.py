@@ -231,8 +231,8 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> D
 
     Every payload is inflated and checked; with ``payloads`` false it isn't passed on.
     """
+    # An archive fills an Arrow batch by its bytes, so a worker has one at a time.
     session(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_reader(payloads), _ROW)
 

@@ -78,3 +78,12 @@ def test_anchors_cover_every_match():
         bs = L.bigrams_of(template)
         bare = [b for b in bs if not any(c == b or c in b.split() for c in words)]
         assert len(bare) < L.LEAST / (2 - L.LEAST) * len(bs)
+
+
+def test_a_licence_of_several_paragraphs(spark):
+    paragraphs = [" ".join(f"{name}{k}word" for k in range(25)) for name in ("first", "second", "third")]
+    template = {"Long-1.0": "\n\n".join(paragraphs)}
+    texts = ["\n\n".join(paragraphs), "intro line\n\n" + "\n\n".join(paragraphs) + "\n\nand code follows", "\n\n".join(paragraphs[:1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: (r["license"], r["dice"]) for r in L.scan(docs, templates=template).collect()}
+    assert got == {0: ("Long-1.0", 1.0), 1: ("Long-1.0", 1.0), 2: (None, None)}
