@@ -18,6 +18,7 @@ from lodestone.sources import tables
 
 _WS = base._WS
 _TRIMMED = f"regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+_CHAIN = base._CHAIN
 _TURN_ID = "'tm-' || substr(sha256(session || chr(0) || user_seq), 1, 32)"
 
 
@@ -157,20 +158,6 @@ def checked_turns(spark, sf_dir):
     return accepted.select(F.lit("accepted").alias("reason")).unionByName(rejected.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-_CHAIN = f"""{td.TURNS}, ws AS (SELECT session, user_seq, regexp_extract_all(lower(user_text), '[a-z]{{4,}}') AS w FROM turns),
-ds AS (SELECT session, user_seq, list_filter(w, lambda x, i: list_position(w, x) = i) AS d FROM ws),
-chain AS (SELECT session, user_seq, unnest(list_transform(generate_series(1, len(d) - 1), lambda i: {{'s': d[i], 'o': d[i + 1], 'n': i - 1}})) AS t FROM ds WHERE len(d) > 1)"""
-
-
-@query(f"WITH {_CHAIN} SELECT DISTINCT least(t.s, t.o) AS term_a, greatest(t.s, t.o) AS term_b FROM chain WHERE t.s <> t.o")
-def term_graph_edges(spark, sf_dir):
-    terms, flat = (table(x, "terms") for x in td.triples(spark, sf_dir))
-    edges, _ = graph.term_graph(flat)
-    names = terms.select("id", "normalized")
-    named = edges.join(names.select(F.col("id").alias("a"), F.col("normalized").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("normalized").alias("y")), "b")
-    return named.select(F.least("x", "y").alias("term_a"), F.greatest("x", "y").alias("term_b"))
-
-
 def _graph_route_sql() -> str:
     steps = []
     for i in range(1, 21):
