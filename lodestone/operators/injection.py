@@ -67,6 +67,11 @@ def relay_lines(said: DataFrame, *, most_chars: int = 2000, head_chars: int = 16
     return rows.where(F.col("__used") - 1 + head_chars + tail_chars + 40 <= most_chars).drop("__used")
 
 
+def main_sessions(sessions: DataFrame) -> DataFrame:
+    """Sessions (session, origin, delegation_depth) of users, not of agents that another session has started."""
+    return sessions.where(F.col("session").startswith("session-") & (tx.text("origin") != "subagent") & (F.coalesce("delegation_depth", F.lit(0)) == 0))
+
+
 def previous_session(sessions: DataFrame, current: str, now: int, most_age_ms: int = 86_400_000) -> DataFrame:
     """The newest other main session (session, modified) that isn't too old."""
     own = sessions.where((F.col("session") != current) & F.col("session").startswith("session-") & (now - F.col("modified") <= most_age_ms))

@@ -456,9 +456,45 @@ def largest_logs(spark, sf_dir):
     return sessions.largest_logs(c.groupBy(F.col("conv_id").cast("string").alias("session")).agg(F.sum(F.length("text")).alias("size")))
 
 
+@query(f"WITH {td.TOOLS} SELECT session, seq, CASE WHEN e1 = 'error' AND coalesce(e2, '') <> 'error' THEN 'fold' ELSE 'wait' END AS action, text AS unit, 60::BIGINT AS count, 2 AS span FROM tools WHERE e = 'click' AND seq >= 100")
+def guard_sweep(spark, sf_dir):
+    """Every call's step repeats itself in thought; those before the hundredth event were seen."""
+    log = td.tool_log(spark, sf_dir)
+    again = lambda b: F.when(b["type"] == "reasoning", F.struct(b["type"].alias("type"), F.repeat(F.concat(b["text"], F.lit(". ")), 60).alias("text"), *[b[n].alias(n) for n in ("id", "name", "arguments")])).otherwise(b)
+    events = log.withColumn("blocks", F.transform("blocks", again))
+    seen = log.where("seq < 100").select("session", "seq")
+    return capture.guard_sweep(events, seen).select("session", "seq", "action", "unit", F.col("count").cast("long").alias("count"), "span")
+
+
 # ---- injection -----------------------------------------------------------------------
 
 
+@query("SELECT DISTINCT 'session-' || user_id AS session FROM events WHERE event_type NOT IN ('error', 'click')")
+def main_sessions(spark, sf_dir):
+    """Errors come from sessions of another name, clicks from subagents, views from ones that nothing is known of."""
+    e = F.col("event_type")
+    name = F.concat(F.when(e == "error", "job-").otherwise("session-"), "user_id")
+    s = _events(spark, sf_dir).select(name.alias("session"), F.when(e == "click", "subagent").when(e != "view", "user").alias("origin"), F.when(e == "click", 1).when(e != "view", 0).alias("delegation_depth"))
+    return injection.main_sessions(s).select("session").distinct()
+
+
+@query(
+    """WITH u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM conversations WHERE role = 'user'),
+a AS (SELECT DISTINCT conv_id FROM u WHERE t <= 3 AND contains(text, 'tion')), c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT 'session-' || a.conv_id AS session, 'session-' || max(c.conv_id) AS source FROM a JOIN c ON c.conv_id < a.conv_id GROUP BY a.conv_id"""
+)
+def relays(spark, sf_dir):
+    """Sessions follow one another; those whose user says the word go on where the one before ended."""
+    c = td.read(spark, sf_dir, "conversations")
+    name = F.concat(F.lit("session-"), "conv_id")
+    at = F.col("conv_id") * 10
+    users = sessions.with_turn(td.log(spark, sf_dir)).where(sessions.real_user())
+    asked = users.select(F.concat(F.lit("session-"), "session").alias("session"), F.col("turn_no").alias("turn"), (F.col("session").cast("long") * 10).alias("at"), F.col("blocks")[0]["text"].alias("text"))
+    said = sessions.dialogue(td.log(spark, sf_dir)).withColumn("session", F.concat(F.lit("session-"), "session"))
+    logs = c.select(name.alias("session"), (at - 5).alias("modified")).distinct()
+    return injection.relayed(asked, logs, said, trigger="tion", most_age_ms=1 << 40).select("session", "source")
+
+
 @query("SELECT 'session-' || lpad(CAST(max(user_id) AS VARCHAR), 4, '0') AS session FROM events WHERE event_type = 'view' AND user_id < 77")
 def previous_session(spark, sf_dir):
     """Sessions were changed in the order of their users; only viewers' are main sessions."""
@@ -746,6 +782,11 @@ def second_thoughts(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "sentences", "hits")
 
 
+@query(f"SELECT doc_id, coalesce(parts >= 25 AND short_share >= 0.35 AND top_share >= 0.5, FALSE) AS hit FROM ({base._SQL['rotation_detect']})")
+def rotation_hits(spark, sf_dir):
+    return repetition.rotation(td.read(spark, sf_dir, "documents"), "doc_id").select(F.col("id").alias("doc_id"), "hit")
+
+
 @query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) + 1e-9), 6) AS cosine FROM v a JOIN v b ON b.id = a.id + 1")
 def cosine_of_neighbours(spark, sf_dir):
     v = td.vectors(spark, sf_dir)
