@@ -32,10 +32,23 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
+def _located(df: DataFrame):
+    """(file system, path) of a table that ``table`` has written, or None."""
+    path, session = getattr(df, "_table_path", None), df.sparkSession
+    if not path or not hasattr(session, "_jvm"):
+        return None
+    where = session._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(session._jsc.hadoopConfiguration()), where
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that nothing needs any more: whatever was made of them has been written in its turn."""
     for df in tables:
-        path, session = getattr(df, "_table_path", None), df.sparkSession
-        if path and hasattr(session, "_jvm"):
-            where = session._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(session._jsc.hadoopConfiguration()).delete(where, True)
+        if found := _located(df):
+            found[0].delete(found[1], True)
+
+
+def is_there(df: DataFrame) -> bool:
+    """Whether a written table still exists, so far as that can be told."""
+    found = _located(df)
+    return found is None or found[0].exists(found[1])

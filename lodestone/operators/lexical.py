@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.durable import table
+from lodestone.durable import discard, is_there, table
 from lodestone.functions import text as tx
 
 
@@ -68,10 +68,12 @@ class Index:
 def build_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokens: Column | None = None) -> Index:
     """Postings of all documents, written once and sorted by term, so a query reads its terms' row groups. A frequent term lies in several files."""
     held = table(docs.select(F.col(id_col).alias("doc"), (tx.tokenize(text_col) if tokens is None else tokens).alias("t")), "tokens")
-    lengths = held.select("doc", F.size("t").alias("len"))
+    lengths = table(held.select("doc", F.size("t").alias("len")), "lengths")
     each = held.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc", "term", "len").agg(F.count("*").alias("tf"))
     dealt = each.select("doc", "term", "tf", "len").repartition("term", F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("term", "doc")
-    return Index(table(dealt, "postings"), table(lengths, "lengths"))
+    found = Index(table(dealt, "postings"), lengths)
+    discard(held)
+    return found
 
 
 _INDEXES: dict[tuple, Index] = {}
@@ -81,7 +83,8 @@ def stored_index(spark: SparkSession, path: str, id_col: str, text: Column | str
     """The index of a Parquet table's texts, built when it is first asked for and again when the table's files have changed."""
     files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
     key = (spark.sparkContext.applicationId, id_col, str(text), full_text, *sorted(map(tuple, files)))
-    if key not in _INDEXES:
+    held = _INDEXES.get(key)
+    if held is None or not (is_there(held.postings) and is_there(held.lengths)):
         docs = spark.read.parquet(path).select(F.col(id_col).alias("id"), (F.col(text) if isinstance(text, str) else text).alias("text"))
         cores = spark.sparkContext.defaultParallelism
         # A small file is one split; large tables have splits enough.
