@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.durable import discard, is_there, table
 from lodestone.functions import text as tx
+from lodestone.operators.ranking import small
 
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokens: Column | None = None, terms: DataFrame | None = None) -> DataFrame:
@@ -137,6 +138,42 @@ def substring_route(turns: DataFrame, needle: str, limit: int = 200) -> DataFram
     return newest.select("id", (19 - rank * 0.1).alias("score"))
 
 
+def containing(texts: DataFrame, needles: DataFrame, *, id_col: str = "id", text_col: str = "text", key_col: str = "query_id", needle_col: str = "query") -> DataFrame:
+    """(key, id): which needles occur in which texts, letter by letter.
+
+    What a needle has between two blanks is a whole word of any text that holds it. The longest such word of each needle is
+    joined with the texts' distinct words, and only pairs that share it are compared. Needles without one meet all texts; these are broadcast
+    if they are few. Null texts, needles and ids are in no pair; an empty needle is in every text.
+    """
+    asked = needles.select(F.col(key_col).alias("key"), F.col(needle_col).alias("needle")).where("needle IS NOT NULL").distinct()
+    words = F.split("needle", " ", -1)
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    asked = asked.withColumn("word", F.when(longest["n"] > 0, longest["w"]))
+    held = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    each = held.select("id", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("word"))
+    pairs = each.join(asked.select("word", "key").where("word IS NOT NULL"), "word").select("id", "key").distinct()
+    met = pairs.join(asked.where("word IS NOT NULL").select("key", "needle"), "key").join(held, "id").where(F.contains("text", F.col("needle")))
+    rest = held.join(small(asked.where("word IS NULL").select("key", "needle")), F.contains("text", F.col("needle")))
+    return met.select("key", "id").union(rest.select("key", "id")).distinct()
+
+
+def words_within(texts: DataFrame, words: DataFrame, *, id_col: str = "id", text_col: str = "text", word_col: str = "word", letters: str = "a-z", anchor: int = 6) -> DataFrame:
+    """(id, word): which words occur in which texts, inside longer words too.
+
+    Words are of ``letters`` alone and have ``anchor`` of them at least; others are left out, as are nulls. A text's words are looked up from each place
+    by the first ``anchor`` letters there, so a pair is met only where it shares these. No more of a place is kept than the longest word has letters.
+    """
+    own = words.select(F.col(word_col).alias("word")).where(F.col("word").rlike(f"^[{letters}]{{{anchor},}}$")).distinct()
+    own = own.withColumn("start", F.substring("word", 1, anchor))
+    longest = own.agg(F.max(F.length("word"))).first()[0] or anchor
+    runs = F.array_distinct(F.regexp_extract_all(text_col, F.lit(f"[{letters}]{{{anchor},}}"), F.lit(0)))
+    run = texts.select(F.col(id_col).alias("id"), F.explode(runs).alias("run"))
+    place = run.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("run") - (anchor - 1)), lambda k: F.substring("run", k, F.lit(longest)))).alias("rest"))
+    place = place.distinct().withColumn("start", F.substring("rest", 1, anchor))
+    return place.join(own, "start").where(F.startswith("rest", F.col("word"))).select("id", "word").distinct()
+
+
 def top_k(scored: DataFrame, k: int, by: str = "query_id", tie: str = "doc") -> DataFrame:
     """The k best of each query, with their rank from 0. Scores that agree to nine places are equal, as sums depend on their order."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), tie))

@@ -173,10 +173,8 @@ _TRUTH = "truth AS (SELECT item_id AS query_id, min(doc_id) AS id FROM benchmark
 
 @query(f"{_RANKED}, {_TRUTH}, f AS (SELECT query_id, min(rank) AS rank FROM truth LEFT JOIN (SELECT * FROM rk WHERE rank < 50) USING (query_id, id) GROUP BY 1) SELECT count(*) AS queries, round(avg(CASE WHEN rank < 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank < 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_3, round(avg(CASE WHEN rank < 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_5, round(avg(coalesce(1.0::DOUBLE / (rank + 1), 0)), 6) AS mrr FROM f")
 def recall_at_k(spark, sf_dir):
-    # Which document holds an item is a search by the items, which are few and broadcast if their size allows.
-    b = _query_set(spark, sf_dir)
-    d = td.read(spark, sf_dir, "documents").select("doc_id", "text")
-    truth = d.join(b, F.contains("text", F.col("query"))).groupBy("query_id").agg(F.min("doc_id").alias("id"))
+    held = lexical.containing(td.read(spark, sf_dir, "documents"), _query_set(spark, sf_dir), id_col="doc_id")
+    truth = held.groupBy(F.col("key").alias("query_id")).agg(F.min("id").alias("id"))
     return fusion.recall_at(_ranked_set(spark, sf_dir, 50).withColumnRenamed("doc", "id"), truth)
 
 
@@ -606,11 +604,11 @@ def eligible_items(spark, sf_dir):
     return memory.eligible(own, td.NOW, "src3", 200).select("id")
 
 
-def _facts(spark, sf_dir) -> DataFrame:
+def _facts(spark, sf_dir, *more) -> DataFrame:
     """Each event as a fact of a document about its day and its value."""
     e = td.read(spark, sf_dir, "events")
     src = F.col("user_id").cast("string")
-    return e.select(src.alias("src"), F.lit("").alias("level"), F.lit("").alias("project"), F.lit(0).cast("long").alias("updated_at"), F.col("event_type").alias("subject"), F.lit("day").alias("predicate"), F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd"), F.concat(F.lit("v2."), F.col("event_id") % 9, F.lit(".1"))).alias("value"), F.lit("日期").alias("category"), (F.col("event_id") % 11).alias("src_updated_at"))
+    return e.select(src.alias("src"), F.lit("").alias("level"), F.lit("").alias("project"), F.lit(0).cast("long").alias("updated_at"), F.col("event_type").alias("subject"), F.lit("day").alias("predicate"), F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd"), F.concat(F.lit("v2."), F.col("event_id") % 9, F.lit(".1"))).alias("value"), F.lit("日期").alias("category"), (F.col("event_id") % 11).alias("src_updated_at"), *more)
 
 
 @query(
@@ -626,6 +624,23 @@ def facts_route(spark, sf_dir):
     return facts.facts_route(asked, f, entries).select("id", "score", "hits")
 
 
+@query(
+    """WITH u AS (SELECT user_id, max(ts) AS now FROM events GROUP BY 1),
+f AS (SELECT CAST(user_id AS VARCHAR) AS src, strftime(ts, '%Y-%m-%d') || 'v2.' || (event_id % 9) || '.1' AS v FROM events LEFT JOIN u USING (user_id) WHERE now IS NULL OR ts IS NULL OR NOT (ts < TIMESTAMP '2024-01-03') OR ts = now),
+m AS (SELECT src, CAST(contains(v, 'v2.3.1') AS INTEGER) + CAST(contains(v, '2024-01-05') AS INTEGER) AS c FROM f),
+g AS (SELECT src AS id, max(0.5 + least(1.0, 0.2 * c)) AS score, count(*) AS hits FROM m WHERE c > 0 GROUP BY src)
+SELECT id, CAST(score AS DOUBLE) AS score, hits FROM g ORDER BY score DESC, hits DESC, id LIMIT 10"""
+)
+def facts_of_entries(spark, sf_dir):
+    """Facts hold their entry's time, its user's last event; those of the first two days were taken when they happened, before the entry changed."""
+    e = td.read(spark, sf_dir, "events")
+    latest = e.groupBy(F.col("user_id").cast("string").alias("id")).agg(F.max("ts").alias("updated_at"))
+    each = _facts(spark, sf_dir, F.col("ts")).join(latest.withColumnRenamed("updated_at", "now"), F.col("src") == F.col("id"), "left")
+    f = each.withColumn("src_updated_at", F.when(F.col("ts") < F.lit("2024-01-03").cast(e.schema["ts"].dataType), F.col("ts")).otherwise(F.col("now"))).drop("id", "now", "ts")
+    asked = _question(spark, "What was V2.3.1 on 2024-01-05?")
+    return facts.facts_route(asked, f, latest).select("id", "score", "hits")
+
+
 @query(
     f"""WITH {td.ITEMS}, own AS (SELECT * FROM items WHERE coalesce(status, 'active') <> 'archived'), {_tokens_cte("SELECT id, concat_ws(' ', content, keywords) AS text FROM own")}, {_POST}, {_bm25_sql(_Q1)},
 rk AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM sc)
@@ -697,7 +712,9 @@ def term_graph_edges(spark, sf_dir):
 @query("SELECT item_id, count(DISTINCT w) AS terms FROM benchmark JOIN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM conversations) ON contains(lower(text), w) GROUP BY item_id")
 def contains_terms(spark, sf_dir):
     words = td.read(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("w")).distinct()
-    return td.read(spark, sf_dir, "benchmark").join(words, F.contains(F.lower("text"), F.col("w"))).groupBy("item_id").agg(F.count_distinct("w").alias("terms"))
+    texts = td.read(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("text"))
+    found = lexical.words_within(texts, words, id_col="item_id", word_col="w")
+    return found.groupBy(F.col("id").alias("item_id")).agg(F.count("*").alias("terms"))
 
 
 @query()
