@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, language, language_model, licenses, minhash, packing, sharding, toxicity, warc
+from . import decontaminate, embeddings, language, language_model, licenses, minhash, packing, sharding, toxicity, trie, warc
 
 _ALL = {
     "op1_decontaminate": (decontaminate.op1_decontaminate, decontaminate.ORACLE),
@@ -19,6 +19,7 @@ _ALL = {
     "op8_factorization_machine_toxicity": (toxicity.op8_factorization_machine_toxicity, None),
     "op9_subword_language_id": (language.op9_subword_language_id, None),
     "op10_minhash_near_dedup": (minhash.op10_minhash_near_dedup, minhash.ORACLE),
+    "op13_conversation_prefix_trie": (trie.op13_conversation_prefix_trie, trie.ORACLE),
 }
 
 
