@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, language, language_model, licenses, minhash, packing, sharding, toxicity, trie, warc
+from . import decontaminate, embeddings, language, language_model, licenses, minhash, packing, sharding, toxicity, trie, urls, warc, whitening
 
 _ALL = {
     "op1_decontaminate": (decontaminate.op1_decontaminate, decontaminate.ORACLE),
@@ -19,6 +19,8 @@ _ALL = {
     "op8_factorization_machine_toxicity": (toxicity.op8_factorization_machine_toxicity, None),
     "op9_subword_language_id": (language.op9_subword_language_id, None),
     "op10_minhash_near_dedup": (minhash.op10_minhash_near_dedup, minhash.ORACLE),
+    "op11_randomised_whitening": (whitening.op11_randomised_whitening, whitening.ORACLE),
+    "op12_bloom_url_filter": (urls.op12_bloom_url_filter, urls.ORACLE),
     "op13_conversation_prefix_trie": (trie.op13_conversation_prefix_trie, trie.ORACLE),
 }
 
