@@ -13,14 +13,33 @@ from lodestone.streaming import stateful
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _streamed(rows: DataFrame, through) -> DataFrame:
-    """What ``through`` makes of a stream of ``rows``, once all of them are read."""
+#: Parts of a table that come in one after the other, and by how many milliseconds a row may come after later ones.
+_PARTS, _JITTER = 3, 700
+_DELAY = f"{_JITTER} milliseconds"
+#: The time of a last row under a key of its own, which carries the watermark past all others; it is never past itself.
+_END = 1 << 45
+
+
+def _streamed(rows: DataFrame, through, key: str) -> DataFrame:
+    """What ``through`` makes of a stream of ``rows`` (with a time ``at``), which come out of order in several micro-batches."""
     spark = rows.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
     source, out, mark = (shared_path(spark, f"stream-{name}") for name in ("in", "out", "mark"))
-    rows.write.json(source)
-    found = through(stateful.rows_of(spark, source, rows.schema))
-    stateful.sink(found, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), mark).awaitTermination()
+    comes = F.col("at") + F.pmod(F.xxhash64(*rows.columns), F.lit(_JITTER))
+    span = rows.agg(F.min(comes), F.max(comes)).first()
+    if span[0] is not None:
+        part = F.least(F.floor((comes - span[0]) * _PARTS / (span[1] - span[0] + 1)), F.lit(_PARTS - 1))
+        for k in range(_PARTS):
+            rows.where(part == k).coalesce(1).write.json(f"{source}/{k}")
+    end = spark.range(1).select(*[(F.lit(_END) if f.name == "at" else F.lit("~") if f.name == key else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    end.write.json(f"{source}/{_PARTS}")
+    # The store that keeps state over micro-batches is a setting of the stream's start alone.
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    try:
+        found = through(stateful.rows_of(spark, f"{source}/*", rows.schema, 1))
+        stateful.sink(found, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), mark).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(found.schema).option("recursiveFileLookup", "true").parquet(out)
 
 
@@ -42,8 +61,8 @@ def stream_turns(spark, sf_dir):
     """Views are questions, purchases answers, and sign-ups ends of turns."""
     e = F.col("event_type")
     kind = F.when(e == "view", "user/message").when(e.isin("click", "purchase"), "assistant/message").when(e == "signup", "turn/end").otherwise("tool/result")
-    rows = _events(spark, sf_dir).select(_user().alias("session"), F.col("event_id").alias("seq"), kind.alias("type"), F.when(e == "view", "user").otherwise("").alias("kind"), (e == "purchase").alias("visible"))
-    return _streamed(rows, stateful.finished_turns)
+    rows = _events(spark, sf_dir).select(_user().alias("session"), F.col("event_id").alias("at"), F.col("event_id").alias("seq"), kind.alias("type"), F.when(e == "view", "user").otherwise("").alias("kind"), (e == "purchase").alias("visible"))
+    return _streamed(rows, lambda s: stateful.finished_turns(s, _DELAY), "session")
 
 
 @query(
@@ -53,7 +72,7 @@ SELECT entry, event_id, state, CAST(n AS INTEGER) AS attempts, CASE WHEN state =
 )
 def stream_retries(spark, sf_dir):
     rows = _events(spark, sf_dir).select(_user().alias("entry"), F.col("event_id").alias("at"), (F.col("event_type") != "error").alias("ok"))
-    return _streamed(rows, stateful.retry_queue).withColumnRenamed("at", "event_id")
+    return _streamed(rows, lambda s: stateful.retry_queue(s, _DELAY), "entry").where("state <> 'due'").withColumnRenamed("at", "event_id")
 
 
 @query(
@@ -64,24 +83,53 @@ SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id FROM r WHERE fire"""
 )
 def stream_throttle(spark, sf_dir):
     rows = _events(spark, sf_dir).select(_user().alias("key"), F.col("event_id").alias("id"), F.col("event_id").alias("at"))
-    return _streamed(rows, lambda s: stateful.throttle(s, 500)).select("key", "id")
+    return _streamed(rows, lambda s: stateful.throttle(s, 500, _DELAY), "key").select("key", "id")
 
 
 @query("WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session, event_type AS id, event_id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS before FROM events) SELECT session, id, event_id, before IS NULL OR event_id - before > 400 AS fresh FROM e")
 def stream_seen(spark, sf_dir):
     rows = _events(spark, sf_dir).select(_user().alias("session"), F.col("event_type").alias("id"), F.col("event_id").alias("at"))
-    return _streamed(rows, lambda s: stateful.seen_set(s, 400)).withColumnRenamed("at", "event_id")
+    return _streamed(rows, lambda s: stateful.seen_set(s, 400, _DELAY), "session").withColumnRenamed("at", "event_id")
 
 
 @query("WITH e AS (SELECT CAST(user_id AS VARCHAR) AS provider, event_id, event_type, lag(event_id) OVER w AS before, lag(event_type) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT provider, event_id, coalesce(was = 'error' AND event_id < before + 300, FALSE) AS paused FROM e")
 def stream_guard(spark, sf_dir):
     rows = _events(spark, sf_dir).select(_user().alias("provider"), F.col("event_id").alias("at"), F.when(F.col("event_type") == "error", 404).otherwise(200).alias("status"))
-    return _streamed(rows, lambda s: stateful.failure_guard(s, 300)).select("provider", F.col("at").alias("event_id"), "paused")
+    return _streamed(rows, lambda s: stateful.failure_guard(s, 300, _DELAY), "provider").select("provider", F.col("at").alias("event_id"), "paused")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS attempt, min(event_id) AS n, 'again' AS unit, 120::BIGINT AS count, 1.0::DOUBLE AS share FROM events WHERE event_type = 'error' GROUP BY 1")
 def stream_valve(spark, sf_dir):
     """Errors say one word over and over, all else says too little to be looked at."""
     said = F.when(F.col("event_type") == "error", F.repeat(F.lit("again. "), 120)).otherwise("")
-    rows = _events(spark, sf_dir).select(_user().alias("attempt"), F.col("event_id").alias("n"), said.alias("delta"))
-    return _streamed(rows, stateful.loop_valve)
+    rows = _events(spark, sf_dir).select(_user().alias("attempt"), F.col("event_id").alias("at"), F.col("event_id").alias("n"), said.alias("delta"))
+    return _streamed(rows, lambda s: stateful.loop_valve(s, delay=_DELAY), "attempt")
+
+
+@query(
+    """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS entry, event_id, event_type <> 'error' AS ok, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS n, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT entry, n, after, event_id + CAST(least(800, 150 * pow(2, n - 1)) AS BIGINT) AS due FROM r WHERE NOT ok AND n < 20)
+SELECT entry, due AS due_at, CAST(n AS INTEGER) AS attempts FROM d WHERE after IS NULL OR due < after"""
+)
+def stream_retries_due(spark, sf_dir):
+    """Failed entries that fall due before anything else becomes of them: rows that no row of their key brings out."""
+    rows = _events(spark, sf_dir).select(_user().alias("entry"), F.col("event_id").alias("at"), (F.col("event_type") != "error").alias("ok"))
+    found = _streamed(rows, lambda s: stateful.retry_queue(s, _DELAY, most=20, base_ms=150, cap_ms=800), "entry")
+    return found.where("state = 'due'").select("entry", F.col("at").alias("due_at"), "attempts")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS session, event_type AS id, event_id, row_number() OVER (ORDER BY event_id) AS p FROM events),
+r AS (SELECT p, session, id, event_id, [session] AS live, TRUE AS entered, CAST(NULL AS VARCHAR) AS evicted FROM e WHERE p = 1
+  UNION ALL SELECT e.p, e.session, e.id, e.event_id,
+    CASE WHEN list_contains(r.live, e.session) THEN r.live WHEN len(r.live) = 64 THEN list_append(r.live[2:], e.session) ELSE list_append(r.live, e.session) END,
+    NOT list_contains(r.live, e.session), CASE WHEN NOT list_contains(r.live, e.session) AND len(r.live) = 64 THEN r.live[1] END
+  FROM r JOIN e ON e.p = r.p + 1),
+g AS (SELECT *, sum(CASE WHEN entered THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY p ROWS UNBOUNDED PRECEDING) AS stay FROM r)
+SELECT session, id, event_id, row_number() OVER (PARTITION BY session, id, stay ORDER BY p) = 1 AS fresh, evicted FROM g"""
+)
+def stream_ledger(spark, sf_dir):
+    """One ledger for all users, which holds 64 of them; nothing grows stale here, ``stream_seen`` has that."""
+    rows = _events(spark, sf_dir).select(F.lit("all").alias("ledger"), F.col("event_id").alias("at"), F.col("event_id").alias("tie"), _user().alias("session"), F.col("event_type").alias("id"))
+    found = _streamed(rows, lambda s: stateful.ledger(s, 1 << 44, 64, _DELAY), "ledger")
+    return found.select("session", "id", F.col("at").alias("event_id"), "fresh", "evicted")
