@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.durable import table
 from lodestone.functions import text as tx
-from lodestone.operators.ranking import small
+from lodestone.operators.lexical import containing
 from lodestone.schemas import OUTCOMES
 
 _TRIPLES = "array<struct<subject string, predicate string, value string>>"
@@ -53,9 +54,11 @@ def facts_route(queries: DataFrame, facts: DataFrame, entries: DataFrame | None
     if entries is not None:
         now = entries.select(F.col("id").alias("src"), F.col("updated_at").alias("now"))
         own = own.join(now, "src", "left").where("now IS NULL OR src_updated_at IS NULL OR now = src_updated_at")
-    own = own.withColumn("fact", F.monotonically_increasing_id())
-    # Each fact looks at all values that the queries name.
-    met = own.join(small(wanted), F.contains("v", F.col("x")))
+    # The distinct values of the facts are walked once, for all values that the queries name.
+    own = table(own.withColumn("fact", F.monotonically_increasing_id()), "facts")
+    values = table(wanted, "wanted-values")
+    held = containing(own.select("v").distinct(), values.select("x").distinct(), id_col="v", text_col="v", key_col="x", needle_col="x")
+    met = own.join(held.select(F.col("id").alias("v"), F.col("key").alias("x")), "v").join(values, "x")
     each = met.groupBy("query_id", "src", "fact", "subject", "predicate", "value").agg(F.count("*").alias("matched"))
     score = 0.5 + F.least(F.lit(1.0), 0.2 * F.col("matched"))
     text = F.concat_ws("|", "subject", "predicate", "value")

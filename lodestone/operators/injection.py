@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.durable import table
 from lodestone.functions import text as tx
 from lodestone.operators import lexical, store
+from lodestone.operators.asof import newest_before
 from lodestone.operators.ranking import small
 
 MAX_TURNS, MAX_CHARS, USER_CHARS, ANSWER_CHARS = 4, 2400, 420, 760
@@ -153,9 +155,9 @@ def relayed(asked: DataFrame, sessions: DataFrame, said: DataFrame, *, trigger:
     """
     first = asked.where((F.col("turn") <= most_turns) & F.col("text").rlike(trigger) & F.col("session").startswith("session-")).groupBy("session").agg(F.min_by("at", "turn").alias("at"))
     first = first if done is None else first.join(done.select("session"), "session", "left_anti")
-    other = sessions.where(F.col("session").startswith("session-")).select(F.col("session").alias("source"), "modified")
-    near = first.join(other, (F.col("source") != F.col("session")) & (F.col("modified") <= F.col("at")) & (F.col("at") - F.col("modified") <= most_age_ms))
-    newest = near.groupBy("session").agg(F.max(F.struct("modified", "source")).alias("m")).select("session", F.col("m.source").alias("source"))
+    other = sessions.where(F.col("session").startswith("session-")).select(F.col("session").alias("name"), F.col("modified").alias("at"))
+    met = newest_before(first.select(F.col("session").alias("name"), "at"), other).where(F.col("at") - F.col("mark_at") <= most_age_ms)
+    newest = table(met.select(F.col("name").alias("session"), F.col("mark").alias("source")), "relays")
     lines = relay_lines(said.join(newest.select(F.col("source").alias("session")).distinct(), "session", "left_semi"), **limits)
     texts = lines.groupBy(F.col("session").alias("source")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("text"))
     return newest.join(texts, "source").select("session", "source", "text")

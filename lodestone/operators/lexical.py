@@ -6,8 +6,10 @@ joined to it by term, so only postings of query terms are scored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -138,24 +140,61 @@ def substring_route(turns: DataFrame, needle: str, limit: int = 200) -> DataFram
     return newest.select("id", (19 - rank * 0.1).alias("score"))
 
 
+#: Letters of the needles that one automaton holds, and of one needle that go into it; longer ones are compared whole where these are found.
+_BLOCK_LETTERS, _NEEDLE_LETTERS = 1 << 20, 1 << 10
+
+
+def _walked(needles: list[tuple[int, str]]):
+    """Which of the needles each text holds, by an automaton that goes through it once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for number, needle in needles:
+            automaton.add_word(needle, (*automaton.get(needle, ()), number))
+        automaton.make_automaton()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows, found = [], []
+                for k, text in enumerate(batch.column(1).slice(at, 256)):
+                    held = set()
+                    for _, numbers in automaton.iter(text.as_py()):
+                        held.update(numbers)
+                    rows += [at + k] * len(held)
+                    found += sorted(held)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.int64())], names=["id", "number"])
+
+    return run
+
+
 def containing(texts: DataFrame, needles: DataFrame, *, id_col: str = "id", text_col: str = "text", key_col: str = "query_id", needle_col: str = "query") -> DataFrame:
     """(key, id): which needles occur in which texts, letter by letter.
 
-    What a needle has between two blanks is a whole word of any text that holds it. The longest such word of each needle is
-    joined with the texts' distinct words, and only pairs that share it are compared. Needles without one meet all texts; these are broadcast
-    if they are few. Null texts, needles and ids are in no pair; an empty needle is in every text.
+    Needles are dealt into blocks of a bounded number of letters; each block is an Aho-Corasick automaton, and a pass over the
+    texts walks it once a text, whatever the number of needles. Null texts, needles and ids are in no pair; an empty needle is in every text.
     """
-    asked = needles.select(F.col(key_col).alias("key"), F.col(needle_col).alias("needle")).where("needle IS NOT NULL").distinct()
-    words = F.split("needle", " ", -1)
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    asked = asked.withColumn("word", F.when(longest["n"] > 0, longest["w"]))
+    asked = needles.select(F.col(key_col).alias("key"), F.col(needle_col).alias("needle")).where("key IS NOT NULL AND needle IS NOT NULL").distinct()
     held = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    each = held.select("id", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("word"))
-    pairs = each.join(asked.select("word", "key").where("word IS NOT NULL"), "word").select("id", "key").distinct()
-    met = pairs.join(asked.where("word IS NOT NULL").select("key", "needle"), "key").join(held, "id").where(F.contains("text", F.col("needle")))
-    rest = held.join(small(asked.where("word IS NULL").select("key", "needle")), F.contains("text", F.col("needle")))
-    return met.select("key", "id").union(rest.select("key", "id")).distinct()
+    distinct = table(asked.where("needle <> ''").select("needle").distinct().withColumn("number", F.monotonically_increasing_id()), "needles")
+    head = F.substring("needle", 1, _NEEDLE_LETTERS)
+    letters = distinct.agg(F.sum(F.length(head))).first()[0] or 0
+    blocks = -(-letters // _BLOCK_LETTERS)
+    schema = f"id {held.schema['id'].dataType.simpleString()}, number long"
+    pairs = held.select("id", F.lit(0).cast("long").alias("number")).limit(0)
+    for k in range(blocks):
+        # One block at a time is with the driver; what it finds is written before the next is fetched.
+        block = [tuple(r) for r in distinct.where(F.pmod("number", F.lit(blocks)) == k).select("number", head).collect()]
+        pairs = pairs.unionByName(table(held.select("id", "text").mapInArrow(_walked(block), schema), "needles-found"))
+    whole = pairs.join(distinct, "number").join(asked, "needle")
+    short = F.length("needle") <= _NEEDLE_LETTERS
+    met = whole.where(short).select("key", "id")
+    if distinct.where(~short).limit(1).count():
+        met = met.union(whole.where(~short).join(held, "id").where(F.contains("text", F.col("needle"))).select("key", "id"))
+    empty = asked.where("needle = ''").select("key")
+    if empty.limit(1).count():
+        met = met.union(held.select("id").crossJoin(small(empty)).select("key", "id"))
+    return met.distinct()
 
 
 def words_within(texts: DataFrame, words: DataFrame, *, id_col: str = "id", text_col: str = "text", word_col: str = "word", letters: str = "a-z", anchor: int = 6) -> DataFrame:
