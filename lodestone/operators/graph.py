@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.durable import discard, table
 from lodestone.operators.components import components
+from lodestone.operators.lexical import containing
 from lodestone.operators.ranking import placed
 from lodestone.operators.vectors import similar_pairs
 
@@ -200,6 +201,40 @@ def graph_route(terms: DataFrame, triples: DataFrame, query: str, candidates: Da
     return kept.crossJoin(F.broadcast(seeds.agg(F.count("*").alias("seeds")))).where("seeds > 0").select("id", "score")
 
 
+def graph_route_all(terms: DataFrame, triples: DataFrame, queries: DataFrame, allowed, *, max_seeds: int = 12, keep: float = 0.2, damping: float = DAMPING, iterations: int = 20) -> DataFrame:
+    """(query_id, id, score): ``graph_route`` of every query (query_id, query) at once; ``allowed`` filters (query_id, id) rows.
+
+    Ranks are kept a query and a term that its seeds reach, so the tables grow with these and not with all terms.
+    """
+    from lodestone.functions.text import normalize_term
+
+    asked = queries.select(F.col("query_id").alias("id"), normalize_term(F.col("query")).alias("text"))
+    named = containing(asked, terms.where("normalized <> ''").select("id", "normalized"), key_col="id", needle_col="normalized").select(F.col("id").alias("query_id"), F.col("key").alias("id"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.length("normalized")), "id"))
+    seeds = named.join(terms.select("id", "normalized"), "id").withColumn("place", place).where(F.col("place") <= max_seeds).select("query_id", "id", (1.0 / F.col("place")).alias("weight"))
+    seeds = seeds.withColumn("t", F.col("weight") / F.sum("weight").over(Window.partitionBy("query_id"))).drop("weight")
+    edges, bridge = term_graph(triples)
+    arcs = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(edges.select("b", "a"))
+    degree = table(arcs.groupBy("src").agg(F.count("*").alias("degree")), "degrees")
+    arcs = table(arcs.join(degree, "src").select("src", "dst", (1.0 / F.col("degree")).alias("share")), "arcs")
+    # What seeds outside the graph would hold is lost.
+    seeds = table(seeds.join(degree.select(F.col("src").alias("id")), "id", "left_semi"), "seeds")
+    ranks, written = seeds.select("query_id", "id", F.col("t").alias("rank")), None
+    for i in range(iterations):
+        sent = ranks.join(arcs, ranks.id == arcs.src).select("query_id", F.col("dst").alias("id"), (damping * F.col("rank") * F.col("share")).alias("rank"))
+        ranks = sent.union(seeds.select("query_id", "id", ((1 - damping) * F.col("t")).alias("rank"))).groupBy("query_id", "id").agg(F.sum("rank").alias("rank"))
+        if (i + 1) % CUT_EVERY == 0 or i + 1 == iterations:
+            before, ranks = written, table(ranks, "ranks")
+            if before is not None:
+                discard(before)
+            written = ranks
+    met = ranks.join(bridge, ranks.id == bridge.term).groupBy("query_id", F.col("turn").alias("id")).agg(F.sum("rank").alias("score"))
+    met = table(allowed(met), "scored-turns")
+    count = met.groupBy("query_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * keep)).alias("most"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return met.withColumn("nth", nth).join(count, "query_id").where("nth <= most").select("query_id", "id", "score")
+
+
 def build_graph(nodes: DataFrame, vectors: DataFrame, path: str, *, threshold: float = THRESHOLD, k: int = NEIGHBOURS, iterations: int = ITERATIONS) -> DataFrame:
     """Similarity edges, ranks and communities of ``vectors`` (id, vector), published under ``path``; one row that sums them up.
 

@@ -38,7 +38,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from lodestone.plans import catalogue_sources, catalogue_store, catalogue_streams  # noqa: F401  (their queries add themselves)
+    from lodestone.plans import catalogue_jobs, catalogue_sources, catalogue_store, catalogue_streams  # noqa: F401  (their queries add themselves)
 
     return dict(_QUERIES)
 
