@@ -188,6 +188,7 @@ def memory_ids(c: Column | str) -> Column:
 
 def categorize(predicate: Column, value: Column) -> Column:
     """One of seven kinds of facts, by the first pattern that its value meets."""
+    # The patterns and the names of the kinds.
     v, p = trim(text(value)), text(predicate)
     date = v.rlike(r"^\d{4}[-/年]\d{1,2}([-/月]\d{1,2})?日?") | v.rlike(r"^\d{1,2}月\d{1,2}日")
     path = v.rlike(r"^[A-Za-z]:[\\/]") | v.rlike(r"^~[\\/]") | v.rlike(r"\\\\") | v.rlike(r"(?i)\.(mjs|js|json|md|bat|ps1|db|zstd|yml|yaml)$")

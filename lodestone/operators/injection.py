@@ -42,6 +42,7 @@ def pack_greedy(hits: DataFrame, *, by: str, order: str, size: Column, most: int
 
 def recall_block(number: Column) -> Column:
     """A recalled turn as text; ``number`` is its place."""
+    # The labels, whose lengths decide what fits.
     head = F.concat(F.lit("["), number.cast("string"), F.lit("] 轮 "), F.coalesce(F.col("turn_index").cast("string"), F.lit("?")), F.lit("（相关度 "), F.coalesce(F.col("score").cast("string"), F.lit("-")), F.lit("）"))
     return F.concat_ws("\n", head, F.concat(F.lit("    问："), tx.clip(F.col("user_text"), USER_CHARS)), F.concat(F.lit("    答："), tx.clip(F.col("answer_text"), ANSWER_CHARS)))
 
@@ -62,6 +63,7 @@ def insert_before_last_user(messages: Column, message: Column) -> Column:
 
 def relay_lines(said: DataFrame, *, most_chars: int = 2000, head_chars: int = 160, tail_chars: int = 60) -> DataFrame:
     """Dialogue lines (session, seq, role, text) kept from the newest back until one no longer fits."""
+    # The names of the two sides, whose lengths decide what fits.
     line = F.concat(F.lit("  "), F.when(F.col("role") == "user", "用户").otherwise("助手"), F.lit("："), tx.clip(F.col("text"), 300))
     back = Window.partitionBy("session").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
     rows = said.withColumn("line", line)

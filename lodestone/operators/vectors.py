@@ -40,15 +40,6 @@ def vector_to_blob(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-#: Bytes of blocks that a task of Python holds at once.
-BATCH_BYTES = 8 << 20
-
-
-def _bounded(df: DataFrame) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
-
-
 def top_similar(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(query_id, id, score, rank): each query vector's k nearest of the corpus by exact cosine.
 
@@ -67,7 +58,7 @@ def top_similar(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str =
                 order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "id", "score"])
 
-    found = _bounded(pairs).mapInArrow(best, "query_id long, id long, score double")
+    found = pairs.mapInArrow(best, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank - 1).where(F.col("rank") < k)
 
@@ -78,9 +69,16 @@ def _unit(raw: bytes, dim: int) -> np.ndarray:
 
 
 def _blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(dim, ids, vectors): runs of at most ``size`` vectors of one length as bytes, cut within batches; empty ones and ones with nulls go."""
+    """(dim, ids, vectors): runs of at most ``size`` vectors of one length as bytes; empty ones and ones with nulls go.
+
+    Blocks are filled across Arrow batches, so how many there are doesn't depend on any setting of the session.
+    """
+
+    def block(dim: int, ids: list, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], names=["dim", "ids", "vectors"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_blocks: dict[int, tuple[list, np.ndarray]] = {}
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
@@ -93,10 +91,18 @@ def _blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
                     values = column.take(pa.array(own)).flatten()
                 x = values.to_numpy(zero_copy_only=False).reshape(-1, dim)
                 held = ids.take(pa.array(own)).to_pylist()
-                for lo in range(0, len(own), size):
-                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([held[lo : lo + size]], pa.list_(pa.int64())), pa.array([x[lo : lo + size].tobytes()], pa.binary())], names=["dim", "ids", "vectors"])
+                if dim in open_blocks:
+                    before, y = open_blocks.pop(dim)
+                    held, x = before + held, np.vstack([y, x])
+                full = len(held) - len(held) % size
+                for lo in range(0, full, size):
+                    yield block(dim, held[lo : lo + size], x[lo : lo + size])
+                if full < len(held):
+                    open_blocks[dim] = held[full:], x[full:].copy()
+        for dim, (held, x) in open_blocks.items():
+            yield block(dim, held, x)
 
-    return _bounded(vectors).mapInArrow(run, "dim int, ids array<long>, vectors binary")
+    return vectors.mapInArrow(run, "dim int, ids array<long>, vectors binary")
 
 
 def _met(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
@@ -138,6 +144,6 @@ def similar_pairs(vectors: DataFrame, least: float, k: int, *, id_col: str = "id
                 sides = [_nearest(a, b, s, least, k)] + ([_nearest(b, a, s.T, least, k)] if row["a"] != row["b"] else [])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*sides)], names=["src", "dst", "w"])
 
-    found = _bounded(pairs).mapInArrow(near, "src long, dst long, w double")
+    found = pairs.mapInArrow(near, "src long, dst long, w double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")

@@ -23,16 +23,23 @@ def frame_offsets(data: bytes) -> list[int]:
 
 
 def frames(data: bytes, last: int | None = None) -> Iterator[bytes]:
-    """The content of each frame that can be read, of the last ones if a number is given; torn frames are passed over."""
-    offsets = frame_offsets(data)
-    for at in offsets if last is None else offsets[-last:]:
-        inflater = zstandard.ZstdDecompressor().decompressobj()
+    """The content of each frame that can be read, of the last ones if a number is given; torn frames are passed over.
+
+    A frame is fed piece by piece, up to the next magic number that can end it, so none of what follows it is copied.
+    """
+    offsets, view, zstd = frame_offsets(data), memoryview(data), zstandard.ZstdDecompressor()
+    ends = [*offsets[1:], len(data)]
+    for first in range(0 if last is None else max(0, len(offsets) - last), len(offsets)):
+        inflater, content = zstd.decompressobj(), []
         try:
-            content = inflater.decompress(data[at:])
+            for k in range(first, len(offsets)):
+                content.append(inflater.decompress(view[offsets[k] : ends[k]]))
+                if inflater.eof:
+                    break
         except zstandard.ZstdError:
             continue
         if inflater.eof:
-            yield content
+            yield b"".join(content)
 
 
 def lines(data: bytes, tail_frames: int | None = None, tail_bytes: int | None = None) -> list[str]:

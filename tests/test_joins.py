@@ -73,3 +73,43 @@ def test_containment_in_blocks_and_of_long_needles(spark, monkeypatch):
         got = lexical.containing(docs, asked)
         assert {tuple(r) for r in got.collect()} == want
     assert lexical.containing(docs, asked.where(F.col("query_id") < 0)).count() == 0
+
+
+def test_blocks_of_vectors_do_not_depend_on_the_session(spark):
+    import numpy as np
+
+    from lodestone.operators import vectors
+
+    rng = np.random.default_rng(1)
+    rows = [(k, rng.standard_normal(4 + (k % 3 == 0)).tolist()) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    counts = []
+    settings = dict(spark.conf.getAll)
+    for most in ("64", "10000"):
+        spark.conf.set(key, most)
+        counts.append(vectors._blocks(df).count())
+    spark.conf.unset(key)
+    assert counts == [3, 3]
+    got = {(r["src"], r["dst"]) for r in vectors.similar_pairs(df.where("id < 300"), 0.9, 3).collect()}
+    x = {k: np.array(v) / np.linalg.norm(v) for k, v in rows[:300]}
+    for k in range(300):
+        near = sorted((-(x[k] @ x[j]), j) for j in range(300) if j != k and len(x[j]) == len(x[k]) and x[k] @ x[j] >= 0.9)[:3]
+        assert {j for _, j in near} == {j for s, j in got if s == k}
+    assert dict(spark.conf.getAll) == settings
+
+
+def test_many_frames_are_read_in_linear_time():
+    import time
+
+    import zstandard
+
+    from lodestone.sources import logs
+
+    packer = zstandard.ZstdCompressor()
+    # A frame that isn't compressed holds the magic number as it is.
+    one = [packer.compress(b'{"seq": %d}\n' % k) for k in range(8000)] + [packer.compress(b"\x00" + logs.MAGIC + bytes(range(200)))]
+    data = b"".join(one) + logs.MAGIC + b"torn"
+    began = time.time()
+    found = list(logs.frames(data))
+    assert time.time() - began < 2 and len(found) == 8001 and found[7] == b'{"seq": 7}\n' and logs.MAGIC in found[-1]
