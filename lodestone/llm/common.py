@@ -10,19 +10,28 @@ from pyspark.sql import functions as F
 
 from ..durable import discard, shared_path, table
 
-__all__ = ["by_batch", "discard", "fitted", "fold", "input_partitions", "range_of", "release", "session", "shared_path", "table", "text_bytes", "tidy"]
+__all__ = ["apart", "by_batch", "discard", "fitted", "fold", "input_partitions", "range_of", "release", "session", "shared_path", "table", "text_bytes", "tidy"]
 
 #: Rows and bytes of one Arrow batch; a batch ends with the row that passes either.
 ARROW_ROWS, ARROW_BYTES = 256, 1 << 21
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that Python stages of this session receive."""
+    """Bound the Arrow batches that Python stages of this session receive; queries work in a session of their own (``apart``)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
+def apart(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` with its settings of now; what an operator sets there, ``spark`` never sees."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
+
+
 def by_batch(run, returns, *inputs: Column) -> Column:
     """A column that ``run`` computes batch by batch from the Arrow arrays of ``inputs``; other columns stay in the JVM.
 

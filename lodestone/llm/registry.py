@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, embeddings, language, language_model, licenses, minhash, packing, sharding, toxicity, trie, urls, warc, whitening
+from .common import apart
 
 _ALL = {
     "op1_decontaminate": (decontaminate.op1_decontaminate, decontaminate.ORACLE),
@@ -25,8 +27,17 @@ _ALL = {
 }
 
 
+def _apart(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(apart(spark), sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for name, (query, _) in _ALL.items()}
+    """Each query runs in a session of its own, so the caller's keeps its settings."""
+    return {name: _apart(query) for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
