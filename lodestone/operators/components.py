@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from lodestone.durable import discard, table
 
 
+#: Links that a task writes; a table of few links is then few files, however many partitions its shuffles have.
+TASK_LINKS, LEAST_TASKS = 1 << 16, 8
+
+
+def _written(edges: DataFrame, links: int) -> DataFrame:
+    """``edges`` as a table, of about as many as the ``links`` counted before; only the tasks that write it are fewer, never its shuffles."""
+    return table(edges.coalesce(max(LEAST_TASKS, -(-links // TASK_LINKS))), "links")
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -30,10 +39,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = table(large, "links")
+        large = _written(large, state[0])
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, large.a == least.u).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).where("a <> b").distinct()
-        before, edges = edges, table(small, "links")
+        before, edges = edges, _written(small, state[0])
         discard(before, large)
         now = _state(edges)
         if now == state:
