@@ -38,8 +38,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             break
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = _written(large, state[0])
+        large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = _written(large, state[0])  # no more rows than links; what repeats goes with the small stars
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, large.a == least.u).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).where("a <> b").distinct()
         before, edges = edges, _written(small, state[0])
@@ -51,3 +51,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError("the components didn't settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of the components that ``links`` (a, b) make of those of ``roots`` (node, root).
+
+    Only the links between components are contracted, so what is settled is never walked again. A node that ``roots`` lacks is a component by itself.
+    """
+    ends = links.select("a", "b")
+    for side in ("a", "b"):
+        own = roots.select(F.col("node").alias(side), F.col("root").alias("to"))
+        ends = ends.join(own, side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    above = table(components(ends), "joined")
+    moved = above.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    held = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return held.union(above.join(roots.select("node"), "node", "left_anti").select("node", "root"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import fusion, graph, vectors
-from lodestone.operators.components import components
+from lodestone.operators.components import components, joined
 
 
 def random_graph(seed, n=40, m=55):
@@ -91,6 +91,16 @@ def test_components_of_long_chains(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_joined_components_are_those_of_all_links(spark):
+    r = random.Random(11)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(4, 4), (9, 2), (2, 9), (9, 2)]
+    of = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    for cut in (0, 60, 120, len(links)):
+        # The second part repeats some of the first, joins its components and names nodes that it lacks.
+        got = joined(components(of(links[:cut])), of(links[max(0, cut - 20) :] + [(None, 3)])).collect()
+        assert sorted(got) == sorted(components(of(links)).collect())
+
+
 def test_similar_pairs_and_cosine(spark):
     x = np.random.default_rng(3).normal(size=(60, 5))
     frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>")
