@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.durable import discard, table
@@ -180,6 +180,11 @@ def term_graph(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, bridge
 
 
+def _level(score: str) -> Column:
+    """A score to twelve places: sums of the same ranks in another order differ in the last ones, and then go by id."""
+    return F.round(score, 12)
+
+
 def graph_route(terms: DataFrame, triples: DataFrame, query: str, candidates: DataFrame, *, max_seeds: int = 12, keep: float = 0.2) -> DataFrame:
     """(id, score) of the turns whose terms rank highest from the terms that the query names.
 
@@ -197,7 +202,7 @@ def graph_route(terms: DataFrame, triples: DataFrame, query: str, candidates: Da
     allowed = candidates.select(F.col("id").alias("turn"))
     scored = ranks.join(bridge, ranks.id == bridge.term).join(allowed, "turn", "left_semi").groupBy(F.col("turn").alias("id")).agg(F.sum("rank").alias("score"))
     scored = table(scored, "scored-turns")
-    kept = scored.orderBy(F.desc("score"), "id").limit(max(1, -int(-scored.count() * keep // 1)))
+    kept = scored.orderBy(F.desc(_level("score")), "id").limit(max(1, -int(-scored.count() * keep // 1)))
     return kept.crossJoin(F.broadcast(seeds.agg(F.count("*").alias("seeds")))).where("seeds > 0").select("id", "score")
 
 
@@ -231,7 +236,7 @@ def graph_route_all(terms: DataFrame, triples: DataFrame, queries: DataFrame, al
     met = ranks.join(bridge, ranks.id == bridge.term).groupBy("query_id", F.col("turn").alias("id")).agg(F.sum("rank").alias("score"))
     met = table(allowed(met), "scored-turns")
     count = met.groupBy("query_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * keep)).alias("most"))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(_level("score")), "id"))
     return met.withColumn("nth", nth).join(count, "query_id").where("nth <= most").select("query_id", "id", "score")
 
 
