@@ -681,8 +681,8 @@ def wanted_sessions(spark, sf_dir):
 
 @query("SELECT DISTINCT 'session-' || lpad(CAST(conv_id AS VARCHAR), 4, '0') AS session, CASE WHEN conv_id < 10 THEN 'read' ELSE 'cached' END AS source FROM conversations")
 def refreshed_alignment(spark, sf_dir):
-    """The files of the first ten sessions have changed since."""
-    found = td.read(spark, sf_dir, "conversations").select(F.concat(F.lit("session-"), F.lpad(F.col("conv_id").cast("string"), 4, "0")).alias("session"), F.col("conv_id").alias("n")).distinct()
+    """The files of the first ten sessions have changed since. A name has four characters, as in the SQL, so longer numbers that begin alike are one session's file."""
+    found = td.read(spark, sf_dir, "conversations").select(F.concat(F.lit("session-"), F.lpad(F.col("conv_id").cast("string"), 4, "0")).alias("session"), F.col("conv_id").alias("n")).groupBy("session").agg(F.min("n").alias("n"))
     files = found.select("session", F.concat(F.lit("/"), "session").alias("path"), F.lit(5).alias("modified"), F.lit(9).alias("size"), "n")
     groups = lambda kind: lambda f: f.select("session", F.lit(1).alias("abs"), F.lit(0).alias("user_seq"), F.lit(kind).alias("quote"))
     cached = files.withColumn("modified", F.when(F.col("n") < 10, 4).otherwise(5)).select("path", "modified", "size", "session", F.lit(1).alias("abs"), F.lit(0).alias("user_seq"), F.lit("cached").alias("quote"))
