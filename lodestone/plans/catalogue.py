@@ -739,9 +739,9 @@ SELECT a.conv_id AS id, CAST(a.abs AS INTEGER) AS abs, g.user_seq FROM a JOIN g
 def evidence_turns(spark, sf_dir):
     items = td.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id")).distinct()
     c = F.col("id")
-    name = F.lpad(c.cast("string"), 4, "0")
+    name = td.session_name(c.cast("string"))
     edits = items.select("id", F.when(c % 3 == 0, F.concat(F.lit("jot-update-"), name, F.lit("-turn(1)"))).otherwise(F.concat(F.lit("dream-update-"), name, F.lit("-turnRange(1,4); bad"))).alias("edit_history"))
-    events = td.log(spark, sf_dir).withColumn("session", F.concat(F.lit("session-"), F.lpad("session", 4, "0")))
+    events = td.log(spark, sf_dir).withColumn("session", F.concat(F.lit("session-"), td.session_name(F.col("session"))))
     starts = events.where(sessions.real_user()).withColumns({"type": F.lit("turn/start"), "seq": F.col("seq").cast("double") - 0.5})
     groups = sessions.groups(events.withColumn("seq", F.col("seq").cast("double")).unionByName(starts))
     return evidence.locate(edits, groups).select("id", "abs", F.col("user_seq").cast("long").alias("user_seq"))

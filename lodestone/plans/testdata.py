@@ -21,6 +21,11 @@ def millis(name: str):
     return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {name})")
 
 
+def session_name(number):
+    """A session's number as the short name that edits carry, as wide as any number, so that none is cut and none begins another."""
+    return F.lpad(number, 20, "0")
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as items; times are a fixed function of the id."""
     d = F.col("doc_id")
