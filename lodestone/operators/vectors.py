@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from lodestone.durable import table
 
-#: Vectors in a block of the blocked join.
-BLOCK = 1024
+#: Vectors in a block, blocks in a group of the blocked join, groups that a small table is cut into, and rows of a product at once.
+BLOCK, GROUP, SPREAD, SLICE = 1024, 16, 6, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,22 +43,17 @@ def vector_to_blob(vectors: pd.Series) -> pd.Series:
 def top_similar(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(query_id, id, score, rank): each query vector's k nearest of the corpus by exact cosine.
 
-    Queries are cut into bounded blocks, each met with the corpus by blocks; a pair of blocks gives k a query.
+    Queries and corpus are cut into bounded groups of blocks; a pair of groups gives k a query.
     """
     asked = _blocks(queries.select(F.col("query_id").alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
     held = _blocks(corpus.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
-    pairs = _met(asked, held)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = _unit(row["x"], row["dim"]) @ _unit(row["y"], row["dim"]).T
-                q, ids = np.array(row["p"]), np.array(row["q"])
-                n = min(k, len(ids))
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "id", "score"])
-
-    found = pairs.mapInArrow(best, "query_id long, id long, score double")
+    def best(cell: pa.Table) -> pa.Table:
+        (q, x), (ids, y) = _side(cell, True), _side(cell, False)
+        found = [_nearest(q[lo : lo + SLICE], ids, x[lo : lo + SLICE] @ y.T, -np.inf, k, True) for lo in range(0, len(q), SLICE)]
+        return pa.table(dict(zip(("query_id", "id", "score"), (pa.array(np.concatenate(c)) for c in zip(*found)))))
+
+    found = _met(asked, held).groupBy("dim", "i", "j").applyInArrow(best, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank - 1).where(F.col("rank") < k)
 
@@ -105,22 +100,48 @@ def _blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
     return vectors.mapInArrow(run, "dim int, ids array<long>, vectors binary")
 
 
-def _met(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """(dim, a, p, x, b, q, y): pairs of blocks of one length, every one or, of a table with itself, each once.
+def _grouped(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks with the number ``g`` of their group, of at most ``GROUP`` blocks of one length, and how many groups (dim, groups) there are."""
+    held = table(blocks.withColumn("a", F.monotonically_increasing_id()), "vector-blocks")
+    # Numbers of blocks alone are put in order, a thousandth of the rows.
+    place = held.select("dim", "a").withColumn("p", F.row_number().over(Window.partitionBy("dim").orderBy("a")) - 1)
+    count = place.groupBy("dim").agg(F.count("*").alias("n")).withColumn("size", F.least(F.lit(GROUP), F.ceil(F.col("n") / SPREAD)))
+    groups = count.select("dim", "size", F.ceil(F.col("n") / F.col("size")).cast("int").alias("groups"))
+    numbered = place.join(groups, "dim").select("a", F.floor(F.col("p") / F.col("size")).cast("int").alias("g"))
+    return held.join(numbered, "a").drop("a"), groups.select("dim", "groups")
 
-    The pairs are made of the blocks' numbers; what the blocks hold is then brought to them by number, so no key is hot.
-    """
-    x = table(left.withColumn("a", F.monotonically_increasing_id()), "vector-blocks")
-    y = x.withColumnRenamed("a", "b") if right is None else table(right.withColumn("b", F.monotonically_increasing_id()), "vector-blocks")
-    numbers = x.select("dim", "a").join(y.select("dim", "b"), "dim")
-    numbers = numbers.where("a <= b") if right is None else numbers
-    met = numbers.join(x.select("a", F.col("ids").alias("p"), F.col("vectors").alias("x")), "a")
-    return met.join(y.select("b", F.col("ids").alias("q"), F.col("vectors").alias("y")), "b")
 
+def _met(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """(dim, i, j, left, ids, vectors): the blocks of each cell, a pair of groups of blocks of one length; of a table with itself each pair once.
 
-def _nearest(a: np.ndarray, b: np.ndarray, s: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(src, dst, w): of each row of ``s`` the k largest that are ``least`` or more, ties to the smaller id."""
-    i, j = np.nonzero((s >= least) & (a[:, None] != b[None]))
+    A block is copied once for each group that its own meets, and a cell, the unit of work, holds two groups whatever the number of vectors.
+    """
+    x, groups = _grouped(left)
+    if right is None:
+        other = x.join(groups, "dim").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        return other.select("dim", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), (F.col("g") <= F.col("o")).alias("left"), "ids", "vectors")
+    y, others = _grouped(right)
+    each = lambda own, n: own.join(n, "dim").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    asked = each(x, others).select("dim", F.col("g").alias("i"), F.col("o").alias("j"), F.lit(True).alias("left"), "ids", "vectors")
+    return asked.unionByName(each(y, groups).select("dim", F.col("o").alias("i"), F.col("g").alias("j"), F.lit(False).alias("left"), "ids", "vectors"))
+
+
+def _side(cell: pa.Table, left: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit vectors) of the blocks on one side of a cell."""
+    own = cell.filter(pa.compute.equal(cell.column("left"), left))
+    dim = cell.column("dim")[0].as_py()
+    ids = own.column("ids").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return ids, _unit(b"".join(own.column("vectors").to_pylist()), dim)
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, s: np.ndarray, least: float, k: int, itself: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(src, dst, w): of each row of ``s`` the k largest that are ``least`` or more, ties to the smaller id; ``itself`` if rows of equal ids count."""
+    if not itself:
+        s[a[:, None] == b[None]] = -np.inf
+    if not s.size:
+        return a[:0], b[:0], s.ravel()[:0]
+    kth = np.partition(s, s.shape[1] - k, axis=1)[:, -k] if k < s.shape[1] else np.full(len(a), -np.inf)
+    i, j = np.nonzero((s >= np.maximum(kth, least)[:, None]) & (s > -np.inf))
     order = np.lexsort((b[j], -s[i, j], i))
     i, j = i[order], j[order]
     place = np.arange(len(i)) - np.searchsorted(i, i)
@@ -131,19 +152,17 @@ def _nearest(a: np.ndarray, b: np.ndarray, s: np.ndarray, least: float, k: int)
 def similar_pairs(vectors: DataFrame, least: float, k: int, *, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(src, dst, w): each vector's k nearest others of cosine ``least`` or more; ties go to the smaller id.
 
-    Every pair of blocks is met once and gives both directions; no threshold as low as a graph's lets pairs be left out.
+    Every pair of groups of blocks is met once and gives both directions, k a vector at most; no threshold as low as a graph's lets pairs be left out.
     """
     held = _blocks(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
-    pairs = _met(held)
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = _unit(row["x"], row["dim"]) @ _unit(row["y"], row["dim"]).T
-                a, b = np.array(row["p"]), np.array(row["q"])
-                sides = [_nearest(a, b, s, least, k)] + ([_nearest(b, a, s.T, least, k)] if row["a"] != row["b"] else [])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*sides)], names=["src", "dst", "w"])
+    def near(cell: pa.Table) -> pa.Table:
+        a, x = _side(cell, True)
+        b, y = (a, x) if cell.column("i")[0].as_py() == cell.column("j")[0].as_py() else _side(cell, False)
+        sides = [(a, b, x, y)] + ([(b, a, y, x)] if a is not b else [])
+        found = [_nearest(p[lo : lo + SLICE], q, u[lo : lo + SLICE] @ v.T, least, k) for p, q, u, v in sides for lo in range(0, len(p), SLICE)]
+        return pa.table(dict(zip(("src", "dst", "w"), (pa.array(np.concatenate(c)) for c in zip(*found)))))
 
-    found = pairs.mapInArrow(near, "src long, dst long, w double")
+    found = _met(held).groupBy("dim", "i", "j").applyInArrow(near, "src long, dst long, w double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lodestone.operators import graph
+from lodestone.operators import graph, vectors
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +36,26 @@ def test_scores_that_differ_by_the_order_of_a_sum_go_by_id(spark):
     sums = spark.createDataFrame([("b", 0.1 + 0.2 + 0.3), ("a", 0.3 + 0.2 + 0.1), ("c", 0.5)], "id string, score double")
     assert 0.1 + 0.2 + 0.3 > 0.3 + 0.2 + 0.1
     assert [r["id"] for r in sums.orderBy(F.desc(graph._level("score")), "id").collect()] == ["a", "b", "c"]
+
+
+def test_cells_of_vectors_give_each_its_nearest_and_copy_blocks_by_groups(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((90, 4)).round(1)
+    x[40:50] = x[3]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>")
+    blocks = vectors._blocks(df.coalesce(1), 2)
+    unit = x / (np.sqrt((x * x).sum(1, keepdims=True)) + 1e-12)
+    s = unit @ unit.T
+    assert blocks.count() == 45
+    cells = vectors._met(blocks).groupBy("i", "j").count().collect()
+    assert len(cells) == 21 and sum(r["count"] for r in cells) == 45 * 6
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(vectors, "_blocks", lambda df, size=7, own=vectors._blocks: own(df, size))
+        got = {(r["src"], r["dst"]) for r in vectors.similar_pairs(df, 0.3, 3).collect()}
+        asked = df.where("id % 9 = 0").withColumnRenamed("id", "query_id")
+        top = {(r["query_id"], r["rank"]): r["id"] for r in vectors.top_similar(df, asked, 4).collect()}
+    for k in range(90):
+        near = sorted((-s[k, j].round(9), j) for j in range(90) if j != k and s[k, j] >= 0.3)[:3]
+        assert sorted(-s[k, j].round(9) for i, j in got if i == k) == [w for w, _ in near]
+    for q in range(0, 90, 9):
+        assert [s[q, top[q, r]].round(9) for r in range(4)] == sorted(s[q].round(9), reverse=True)[:4]
