@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lodestone.operators import graph, vectors
+from lodestone.operators import graph, lexical, vectors
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +59,23 @@ def test_cells_of_vectors_give_each_its_nearest_and_copy_blocks_by_groups(spark)
         assert sorted(-s[k, j].round(9) for i, j in got if i == k) == [w for w, _ in near]
     for q in range(0, 90, 9):
         assert [s[q, top[q, r]].round(9) for r in range(4)] == sorted(s[q].round(9), reverse=True)[:4]
+
+
+def test_best_of_each_is_the_head_of_the_whole_ranking(spark):
+    r = random.Random(3)
+    docs = [(f"d{k:03}", " ".join(r.choices("abcdefghij", [2**-i for i in range(10)], k=r.randint(1, 9)))) for k in range(300)] + [(f"e{k}", "a a b") for k in range(20)]
+    held = lexical.postings(spark.createDataFrame(docs, "id string, text string"), tokens=F.split("text", " "))
+    stats = lexical.corpus_stats(spark.createDataFrame(docs, "id string, text string"), tokens=F.split("text", " "))
+    terms = spark.createDataFrame([(q, t) for q, own in ((1, "ab"), (2, "cdj"), (7, "zj"), (9, "z")) for t in own], "query_id long, term string")
+    with pytest.MonkeyPatch.context() as patch:
+        for name, value in (("_GRID", 64), ("_QUERIES", 2), ("_BLOCK_POSTINGS", 50)):
+            patch.setattr(lexical, name, value)
+        best = lexical.bm25_best(held, stats, terms, 6).collect()
+    plain = [r.asDict() for r in lexical.bm25(held, stats, terms).collect()]
+    blocks = 0
+    for q in (1, 2, 7, 9):
+        want = sorted((-round(p["score"], 9), p["doc"]) for p in plain if p["query_id"] == q)
+        got = sorted((b["rank"], b["doc"], b["n"]) for b in best if b["query_id"] == q)
+        assert got == [(k, d, len(want)) for k, (_, d) in enumerate(want[:6])]
+        blocks += len(got)
+    assert blocks == len(best) > 12
