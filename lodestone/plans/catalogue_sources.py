@@ -63,12 +63,17 @@ def turns_of_logs(spark, sf_dir):
     return done.select("session", "user_seq", F.sha2(F.concat("user_text", "answer_text"), 256).alias("said"))
 
 
+_USERS_A_FILE = 256
+
+
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def documents_read(spark, sf_dir):
+    """A document for each user; a file is a list of the documents of at most ``_USERS_A_FILE`` users, as a file for each costs more than its rows."""
     path = shared_path(spark, "documents")
     fact = F.struct(F.col("user_id").alias("u"), F.col("event_type").alias("t"), F.lit(1).alias("unused"))
     docs = td.read(spark, sf_dir, "events").groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(fact).alias("facts"))).alias("value"))
-    docs.select("value", F.col("user_id").alias("part")).write.partitionBy("part").text(path)
+    files = docs.groupBy(F.floor(F.col("user_id") / _USERS_A_FILE).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    files.select("value", "part").write.partitionBy("part").text(path)
     return tables.read_document(spark, path, "facts", "u: long, t: string").groupBy(F.col("u").alias("user_id"), F.col("t").alias("event_type")).agg(F.count("*").alias("n"))
 
 

@@ -79,3 +79,14 @@ def test_best_of_each_is_the_head_of_the_whole_ranking(spark):
         assert got == [(k, d, len(want)) for k, (_, d) in enumerate(want[:6])]
         blocks += len(got)
     assert blocks == len(best) > 12
+
+
+def test_documents_share_files(spark, tmp_path, monkeypatch):
+    from lodestone.plans import catalogue_sources
+
+    rows = [(u, t, k) for u in range(600) for k, t in enumerate(("view", "click", "view"))]
+    spark.createDataFrame(rows, "user_id long, event_type string, event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(catalogue_sources, "shared_path", lambda spark, name: f"{tmp_path}/{name}")
+    got = {(r["user_id"], r["event_type"]): r["n"] for r in entry.queries()["documents_read"](spark, str(tmp_path)).collect()}
+    assert got == {(u, t): n for u in range(600) for t, n in (("view", 2), ("click", 1))}
+    assert len(list(tmp_path.glob("documents/part=*/*.txt"))) == 3
