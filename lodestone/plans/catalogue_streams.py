@@ -13,8 +13,10 @@ from lodestone.streaming import stateful
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-#: Parts of a table that come in one after the other, and by how many milliseconds a row may come after later ones.
-_PARTS, _JITTER = 3, 700
+#: Parts of a table that come in one after the other, at least; rows of a part, about; and by how many milliseconds a row may come after later ones.
+_PARTS, _PART_ROWS, _JITTER = 3, 1 << 20, 700
+#: Files of a part that has many rows.
+_FILES = 4
 _DELAY = f"{_JITTER} milliseconds"
 #: The time of a last row under a key of its own, which carries the watermark past all others; it is never past itself.
 _END = 1 << 45
@@ -25,18 +27,23 @@ def _streamed(rows: DataFrame, through, key: str) -> DataFrame:
     spark = rows.sparkSession
     source, out, mark = (shared_path(spark, f"stream-{name}") for name in ("in", "out", "mark"))
     comes = F.col("at") + F.pmod(F.xxhash64(*rows.columns), F.lit(_JITTER))
-    span = rows.agg(F.min(comes), F.max(comes)).first()
-    if span[0] is not None:
-        part = F.least(F.floor((comes - span[0]) * _PARTS / (span[1] - span[0] + 1)), F.lit(_PARTS - 1))
-        for k in range(_PARTS):
-            rows.where(part == k).coalesce(1).write.json(f"{source}/{k}")
+    count = rows.count()
+    parts, files = max(_PARTS, -(-count // _PART_ROWS)), _FILES if count > _PART_ROWS else 1
+    cuts = rows.agg(F.percentile_approx(comes, [k / parts for k in range(1, parts)])).first()[0]
+    # One pass deals the rows to their parts; each is then read by itself.
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts or ()]).cast("array<long>"), lambda c: c <= comes))
+    staged = shared_path(spark, "stream-parts")
+    dealt = rows.withColumn("part", part)
+    dealt.write.partitionBy("part").parquet(staged)
+    for k in range(parts):
+        spark.read.schema(dealt.schema).parquet(staged).where(F.col("part") == k).select(*rows.columns).repartition(files).write.json(f"{source}/{k}")
     end = spark.range(1).select(*[(F.lit(_END) if f.name == "at" else F.lit("~") if f.name == key else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
-    end.write.json(f"{source}/{_PARTS}")
+    end.write.json(f"{source}/{parts}")
     # The store that keeps state over micro-batches is a setting of the stream's start alone.
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
     try:
-        found = through(stateful.rows_of(spark, f"{source}/*", rows.schema, 1))
+        found = through(stateful.rows_of(spark, f"{source}/*", rows.schema, files))
         stateful.sink(found, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), mark).awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
