@@ -90,3 +90,41 @@ def test_documents_share_files(spark, tmp_path, monkeypatch):
     got = {(r["user_id"], r["event_type"]): r["n"] for r in entry.queries()["documents_read"](spark, str(tmp_path)).collect()}
     assert got == {(u, t): n for u in range(600) for t, n in (("view", 2), ("click", 1))}
     assert len(list(tmp_path.glob("documents/part=*/*.txt"))) == 3
+
+
+def test_superseded_items_come_once_a_cell_and_are_brute_force(spark, monkeypatch):
+    """Copies of one text are as many pairs as their square, of which a cell gives none but its items."""
+    from lodestone.plans import memory
+
+    monkeypatch.setattr(memory, "SET_BLOCK", 64)
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(r.sample(words, r.randrange(1, 25))) for _ in range(120)]
+    rows = []
+    for k in range(500):
+        ws = r.choice(texts).split() if k >= 200 else texts[0].split()
+        ws = [w if r.random() > 0.15 * (k % 3) else r.choice(words) for w in ws]
+        rows.append((f"i{k}", " ".join(ws), "", r.choice([0, None] + list(range(1, 40))) if k % 50 == 7 else 1 + k % 40))
+    day = memory.DAY_MS
+    frame = spark.createDataFrame([(i, t, kw, None if d is None else d * day) for i, t, kw, d in rows], "id string, content string, keywords string, updated_at long")
+    want, sets = set(), [(i, set(t[:200].split()), d) for i, t, _, d in rows if d]
+    for i, a, s in sets:
+        if any(u - s >= 7 and len(a & b) / len(a | b) >= 0.45 for _, b, u in sets):
+            want.add(i)
+    assert sorted(x["id"] for x in memory.superseded(frame).collect()) == sorted(want) and 0 < len(want) < 490
+
+    near = memory._resembled
+
+    def counted(gap, likeness):
+        run = near(gap, likeness)
+
+        def older(cell):
+            found = run(cell)
+            held = sum(len(x) for x in cell.column("ids").to_pylist())
+            assert found.num_rows <= held, "more rows than items"
+            return found
+
+        return older
+
+    monkeypatch.setattr(memory, "_resembled", counted)
+    assert memory.superseded(frame).count() == len(want)
