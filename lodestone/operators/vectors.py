@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from lodestone.durable import table
 
-#: Vectors in a block, blocks in a group of the blocked join, groups that a small table is cut into, and rows of a product at once.
-BLOCK, GROUP, SPREAD, SLICE = 1024, 16, 6, 256
+#: Vectors in a block, blocks in a group of the blocked join and bytes of its vectors as doubles, groups that a small table is cut into, and cells of a product at once.
+BLOCK, GROUP, GROUP_BYTES, SPREAD, CELLS = 1024, 64, 1 << 27, 6, 1 << 22
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,12 +45,13 @@ def top_similar(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str =
 
     Queries and corpus are cut into bounded groups of blocks; a pair of groups gives k a query.
     """
-    asked = _blocks(queries.select(F.col("query_id").alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
-    held = _blocks(corpus.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
+    asked = _blocks(_numbers(queries, "query_id", vector_col))
+    held = _blocks(_numbers(corpus, id_col, vector_col))
 
     def best(cell: pa.Table) -> pa.Table:
         (q, x), (ids, y) = _side(cell, True), _side(cell, False)
-        found = [_nearest(q[lo : lo + SLICE], ids, x[lo : lo + SLICE] @ y.T, -np.inf, k, True) for lo in range(0, len(q), SLICE)]
+        step = _step(y)
+        found = [_nearest(q[lo : lo + step], ids, x[lo : lo + step] @ y.T, -np.inf, k, True) for lo in range(0, len(q), step)]
         return pa.table(dict(zip(("query_id", "id", "score"), (pa.array(np.concatenate(c)) for c in zip(*found)))))
 
     found = _met(asked, held).groupBy("dim", "i", "j").applyInArrow(best, "query_id long, id long, score double")
@@ -58,11 +59,22 @@ def top_similar(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str =
     return found.withColumn("rank", rank - 1).where(F.col("rank") < k)
 
 
-def _unit(raw: bytes, dim: int) -> np.ndarray:
-    x = np.frombuffer(raw, np.float64).reshape(-1, dim)
+def _numbers(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v): floats stay floats, half the bytes of the doubles that they become where they are multiplied."""
+    single = vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull)
+    return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
+
+
+def _unit(raw: bytes, rows: int, dim: int) -> np.ndarray:
+    x = np.frombuffer(raw, np.float32 if len(raw) == 4 * rows * dim else np.float64).reshape(-1, dim).astype(np.float64)
     return x / (np.sqrt((x * x).sum(1, keepdims=True)) + 1e-12)
 
 
+def _step(y: np.ndarray) -> int:
+    """Rows that are multiplied with all of ``y`` at once."""
+    return max(16, CELLS // max(1, len(y)))
+
+
 def _blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
     """(dim, ids, vectors): runs of at most ``size`` vectors of one length as bytes; empty ones and ones with nulls go.
 
@@ -101,11 +113,11 @@ def _blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
 
 
 def _grouped(blocks: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks with the number ``g`` of their group, of at most ``group`` blocks of one length, and how many groups (dim, groups) there are."""
+    """Blocks with the number ``g`` of their group, of at most ``group`` blocks of one length and bounded bytes, and how many groups (dim, groups) there are."""
     held = table(blocks.withColumn("a", F.monotonically_increasing_id()), "vector-blocks")
     # Numbers of blocks alone are put in order, a thousandth of the rows.
     place = held.select("dim", "a").withColumn("p", F.row_number().over(Window.partitionBy("dim").orderBy("a")) - 1)
-    count = place.groupBy("dim").agg(F.count("*").alias("n")).withColumn("size", F.least(F.lit(group), F.ceil(F.col("n") / SPREAD)))
+    count = place.groupBy("dim").agg(F.count("*").alias("n")).withColumn("size", F.least(F.lit(group), F.ceil(F.col("n") / SPREAD), F.greatest(F.lit(1), F.floor(GROUP_BYTES / (8 * BLOCK * F.greatest("dim", F.lit(1)))))))
     groups = count.select("dim", "size", F.ceil(F.col("n") / F.col("size")).cast("int").alias("groups"))
     numbered = place.join(groups, "dim").select("a", F.floor(F.col("p") / F.col("size")).cast("int").alias("g"))
     return held.join(numbered, "a").drop("a"), groups.select("dim", "groups")
@@ -131,17 +143,25 @@ def _side(cell: pa.Table, left: bool) -> tuple[np.ndarray, np.ndarray]:
     own = cell.filter(pa.compute.equal(cell.column("left"), left))
     dim = cell.column("dim")[0].as_py()
     ids = own.column("ids").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return ids, _unit(b"".join(own.column("vectors").to_pylist()), dim)
+    return ids, _unit(b"".join(own.column("vectors").to_pylist()), len(ids), dim)
 
 
 def _nearest(a: np.ndarray, b: np.ndarray, s: np.ndarray, least: float, k: int, itself: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(src, dst, w): of each row of ``s`` the k largest that are ``least`` or more, ties to the smaller id; ``itself`` if rows of equal ids count."""
-    if not itself:
-        s[a[:, None] == b[None]] = -np.inf
     if not s.size:
         return a[:0], b[:0], s.ravel()[:0]
-    kth = np.partition(s, s.shape[1] - k, axis=1)[:, -k] if k < s.shape[1] else np.full(len(a), -np.inf)
-    i, j = np.nonzero((s >= np.maximum(kth, least)[:, None]) & (s > -np.inf))
+    near = s >= least
+    if np.count_nonzero(near) <= s.size >> 4:
+        # Few reach ``least``, so they are put in order without a look at the others.
+        i, j = np.divmod(np.flatnonzero(near), s.shape[1])
+        if not itself:
+            other = a[i] != b[j]
+            i, j = i[other], j[other]
+    else:
+        if not itself:
+            s[a[:, None] == b[None]] = -np.inf
+        kth = np.partition(s, s.shape[1] - k, axis=1)[:, -k] if k < s.shape[1] else np.full(len(a), -np.inf)
+        i, j = np.nonzero((s >= np.maximum(kth, least)[:, None]) & (s > -np.inf))
     order = np.lexsort((b[j], -s[i, j], i))
     i, j = i[order], j[order]
     place = np.arange(len(i)) - np.searchsorted(i, i)
@@ -154,13 +174,13 @@ def similar_pairs(vectors: DataFrame, least: float, k: int, *, id_col: str = "id
 
     Every pair of groups of blocks is met once and gives both directions, k a vector at most; no threshold as low as a graph's lets pairs be left out.
     """
-    held = _blocks(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
+    held = _blocks(_numbers(vectors, id_col, vector_col))
 
     def near(cell: pa.Table) -> pa.Table:
         a, x = _side(cell, True)
         b, y = (a, x) if cell.column("i")[0].as_py() == cell.column("j")[0].as_py() else _side(cell, False)
         sides = [(a, b, x, y)] + ([(b, a, y, x)] if a is not b else [])
-        found = [_nearest(p[lo : lo + SLICE], q, u[lo : lo + SLICE] @ v.T, least, k) for p, q, u, v in sides for lo in range(0, len(p), SLICE)]
+        found = [_nearest(p[lo : lo + _step(v)], q, u[lo : lo + _step(v)] @ v.T, least, k) for p, q, u, v in sides for lo in range(0, len(p), _step(v))]
         return pa.table(dict(zip(("src", "dst", "w"), (pa.array(np.concatenate(c)) for c in zip(*found)))))
 
     found = _met(held).groupBy("dim", "i", "j").applyInArrow(near, "src long, dst long, w double")

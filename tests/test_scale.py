@@ -128,3 +128,26 @@ def test_superseded_items_come_once_a_cell_and_are_brute_force(spark, monkeypatc
 
     monkeypatch.setattr(memory, "_resembled", counted)
     assert memory.superseded(frame).count() == len(want)
+
+
+def test_blocks_of_vectors_are_copied_once_a_group_and_groups_are_bounded_in_bytes(spark):
+    blocks = lambda dim, n: spark.range(n).select(F.lit(dim).cast("int").alias("dim"), F.array("id").alias("ids"), F.encode(F.lit("x"), "utf-8").alias("vectors"))
+    # 300 blocks were 19 groups of 16, so 19 copies of each.
+    assert vectors._met(blocks(64, 300)).count() == 300 * vectors.SPREAD
+    wide = vectors._grouped(blocks(4096, 300), vectors.GROUP)[0].groupBy("g").count()
+    assert max(r["count"] for r in wide.collect()) * 4096 * 8 * vectors.BLOCK <= vectors.GROUP_BYTES
+    rows = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(5)], "id long, vector array<float>")
+    assert {len(bytes(r["vectors"])) // len(r["ids"]) for r in vectors._blocks(vectors._numbers(rows, "id", "vector")).collect()} == {2 * 4}
+
+
+def test_nearest_of_few_and_of_many_above_the_least_agree_with_sorting():
+    rng = np.random.default_rng(5)
+    a, b = np.arange(40), np.arange(20, 320)
+    s = rng.integers(0, 50, (len(a), len(b))) / 50.0
+    for least in (-np.inf, 0.0, 0.5, 0.96):
+        got = list(zip(*(x.tolist() for x in vectors._nearest(a, b, s.copy(), least, 3))))
+        wanted = []
+        for i, src in enumerate(a):
+            near = sorted((-s[i, j], dst) for j, dst in enumerate(b) if src != dst and s[i, j] >= least)[:3]
+            wanted += [(int(src), int(dst), float(-w)) for w, dst in near]
+        assert got == wanted
