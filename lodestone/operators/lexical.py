@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestone.durable import discard, is_there, table
+from lodestone.durable import is_there, table
 from lodestone.functions import text as tx
 from lodestone.operators.ranking import placed, small
 
@@ -31,6 +31,33 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokens
     return each.groupBy("doc", "term", "len").agg(F.count("*").alias("tf")).select("doc", "term", "tf", "len")
 
 
+def _few(terms: DataFrame) -> list[str] | None:
+    """The distinct terms, if they are few."""
+    found = terms.select("term").distinct().limit(FEW + 1).collect()
+    return [r["term"] for r in found] if len(found) <= FEW else None
+
+
+def _repeated(docs: DataFrame) -> bool:
+    """Whether rows share a document (doc)."""
+    return not docs.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+
+
+def _counted(held: DataFrame, repeated: bool) -> DataFrame:
+    """(doc, term, tf, len) of rows (doc, len, t); only where documents are repeated do their terms meet in a shuffle."""
+    each = held.select("doc", "len", F.explode(tx.counted("t")).alias("c")).select("doc", "c.term", "c.tf", "len")
+    return each.groupBy("doc", "term", "len").agg(F.sum("tf").alias("tf")).select("doc", "term", "tf", "len") if repeated else each
+
+
+def sought(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """``postings`` of some terms and ``corpus_stats`` of all documents; of few terms by one pass over the texts, which keeps only what is sought."""
+    few = _few(terms)
+    if few is None:
+        return postings(docs, id_col, text_col, tokens, terms), corpus_stats(docs, text_col, tokens)
+    found = docs.select(F.col(id_col).alias("doc"), (tx.tokenize(text_col) if tokens is None else tokens).alias("t"))
+    held = table(found.select("doc", F.size("t").alias("len"), F.filter("t", lambda x: x.isin(few)).alias("t")), "sought-tokens")
+    return _counted(held, _repeated(held)), _stats(held, F.col("len"))
+
+
 def document_frequency(found: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -52,17 +79,16 @@ FEW = 200
 
 @dataclass
 class Index:
-    """Stored postings: (doc, term, tf, len) sorted by term, and (doc, len) of every document."""
+    """Stored postings: (doc, term, tf, len) in files that each are sorted by term, and (doc, len) of every document."""
 
     postings: DataFrame
     lengths: DataFrame
 
     def of(self, terms: DataFrame, docs: DataFrame | None = None) -> DataFrame:
         """Postings of some terms, and of some documents (id) only where they are given."""
-        wanted = terms.select("term").distinct()
-        few = wanted.limit(FEW + 1).collect()
+        few = _few(terms)
         # A few terms are a filter of the scan, which reads only the row groups that can hold them.
-        found = self.postings.where(F.col("term").isin([r["term"] for r in few])) if len(few) <= FEW else self.postings.join(wanted, "term", "left_semi")
+        found = self.postings.where(F.col("term").isin(few)) if few is not None else self.postings.join(terms.select("term").distinct(), "term", "left_semi")
         return found if docs is None else found.join(docs.select(F.col("id").alias("doc")), "doc", "left_semi")
 
     def stats(self, docs: DataFrame | None = None) -> DataFrame:
@@ -72,14 +98,19 @@ class Index:
 
 
 def build_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokens: Column | None = None) -> Index:
-    """Postings of all documents, written once and sorted by term, so a query reads its terms' row groups. A frequent term lies in several files."""
-    held = table(docs.select(F.col(id_col).alias("doc"), (tx.tokenize(text_col) if tokens is None else tokens).alias("t")), "tokens")
-    lengths = table(held.select("doc", F.size("t").alias("len")), "lengths")
-    each = held.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc", "term", "len").agg(F.count("*").alias("tf"))
-    dealt = each.select("doc", "term", "tf", "len").repartition("term", F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("term", "doc")
-    found = Index(table(dealt, "postings"), lengths)
-    discard(held)
-    return found
+    """Postings of all documents, written once. A task counts and sorts the terms of its own documents, so nothing is shuffled; a query reads its terms' row groups of each file."""
+    ids = docs.select(F.col(id_col).alias("doc"))
+    found = docs.select(F.col(id_col).alias("doc"), (tx.tokenize(text_col) if tokens is None else tokens).alias("t")).select("doc", F.size("t").alias("len"), "t")
+    # A row without a term stands for the document, so its length comes of the same pass.
+    own = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"))
+    if _repeated(ids):
+        each = _counted(found, True).union(found.select("doc", own["term"], own["tf"], "len"))
+    else:
+        each = found.select("doc", "len", F.explode(F.concat(F.array(own), tx.counted("t"))).alias("c")).select("doc", "c.term", "c.tf", "len")
+    stored = table(each.sortWithinPartitions("term", "doc"), "postings")
+    found = stored.where("term IS NOT NULL")
+    found._table_path = stored._table_path
+    return Index(found, table(stored.where("term IS NULL").select("doc", "len"), "lengths"))
 
 
 _INDEXES: dict[tuple, Index] = {}
@@ -104,10 +135,9 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
 
 
 def _scores(found: DataFrame, stats: DataFrame, terms: DataFrame, idf: Column, k1: float, b: float) -> DataFrame:
-    df = document_frequency(found)
-    # The terms of a query set are few next to the corpus; Spark broadcasts them if their size allows.
-    hits = found.join(terms, "term").join(df.join(terms.select("term").distinct(), "term"), "term").crossJoin(F.broadcast(stats))
-    part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+    # Weights of few terms go to the postings, so those of a frequent term don't meet in one task.
+    hits = found.join(small(table(_weights(found, stats, terms, idf), "weights")), "term").crossJoin(F.broadcast(stats))
+    part = F.col("weight") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     return hits.groupBy("query_id", "doc").agg(F.sum(part).alias("score")).where("score > 0")
 
 
