@@ -180,15 +180,15 @@ def term_graph(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, bridge
 
 
-def _level(score: str) -> Column:
-    """A score to twelve places: sums of the same ranks in another order differ in the last ones, and then go by id."""
-    return F.round(score, 12)
+def _level(score: str, places: int = 12) -> Column:
+    """A score to so many places: sums of the same ranks in another order differ in the last ones, and then go by id."""
+    return F.round(score, places)
 
 
-def graph_route(terms: DataFrame, triples: DataFrame, query: str, candidates: DataFrame, *, max_seeds: int = 12, keep: float = 0.2) -> DataFrame:
+def graph_route(terms: DataFrame, triples: DataFrame, query: str, candidates: DataFrame, *, max_seeds: int = 12, keep: float = 0.2, places: int = 12) -> DataFrame:
     """(id, score) of the turns whose terms rank highest from the terms that the query names.
 
-    Turns of score 0 count towards the share that is kept; at least one turn is.
+    Turns of score 0 count towards the share that is kept; at least one turn is. Scores equal to ``places`` places go by id.
     """
     from lodestone.functions.text import normalize_term
 
@@ -202,7 +202,7 @@ def graph_route(terms: DataFrame, triples: DataFrame, query: str, candidates: Da
     allowed = candidates.select(F.col("id").alias("turn"))
     scored = ranks.join(bridge, ranks.id == bridge.term).join(allowed, "turn", "left_semi").groupBy(F.col("turn").alias("id")).agg(F.sum("rank").alias("score"))
     scored = table(scored, "scored-turns")
-    kept = scored.orderBy(F.desc(_level("score")), "id").limit(max(1, -int(-scored.count() * keep // 1)))
+    kept = scored.orderBy(F.desc(_level("score", places)), "id").limit(max(1, -int(-scored.count() * keep // 1)))
     return kept.crossJoin(F.broadcast(seeds.agg(F.count("*").alias("seeds")))).where("seeds > 0").select("id", "score")
 
 

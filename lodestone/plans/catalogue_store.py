@@ -175,7 +175,8 @@ SELECT session AS session_id, user_seq, round(score, 6) AS score FROM k ORDER BY
 def graph_route(spark, sf_dir):
     terms, flat = (table(x, "terms") for x in td.triples(spark, sf_dir))
     turns = table(td.turns(spark, sf_dir), "turns")
-    found = graph.graph_route(terms, flat, base._QUESTION, turns)
+    # The SQL's order is that of the scores it shows, which have six places.
+    found = graph.graph_route(terms, flat, base._QUESTION, turns, places=6)
     return found.join(turns, "id").select("session_id", "user_seq", F.round("score", 6).alias("score"))
 
 

@@ -139,3 +139,25 @@ def test_graph_route(spark):
     candidates = spark.createDataFrame([("t1",), ("t2",), ("t3",)], "id string")
     assert [r["id"] for r in graph.graph_route(terms, triples, "An Apple", candidates).collect()] == ["t1"]
     assert graph.graph_route(terms, triples, "nothing", candidates).count() == 0
+
+
+def test_graph_route_orders_by_the_scores_that_it_shows(spark, tmp_path):
+    """Turns far from the question score 0 to six places and go by their ids, whatever is left of their scores behind."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    chain = ["thing", *(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))]
+    said = [f"{chain[k]} {chain[k + 1]}" for k in range(40)] + [f"{w} leaf{w}" for w in chain[:40]]
+    rows = [(k, t, role, text) for k, asked in enumerate(said) for t, role, text in ((0, "user", asked), (1, "assistant", "so it is"))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    sql = entry.oracle_sql()["graph_route"].replace("count(*) * 0.2", "count(*) * 0.4")
+    want = db.execute(sql).fetchall()
+    assert len({s for *_, s in want}) < len(want)
+    with pytest.MonkeyPatch.context() as patch:
+        route = graph.graph_route
+        patch.setattr(graph, "graph_route", lambda *a, **more: route(*a, **more, keep=0.4))
+        got = [tuple(r) for r in entry.queries()["graph_route"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
