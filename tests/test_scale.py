@@ -151,3 +151,21 @@ def test_nearest_of_few_and_of_many_above_the_least_agree_with_sorting():
             near = sorted((-s[i, j], dst) for j, dst in enumerate(b) if src != dst and s[i, j] >= least)[:3]
             wanted += [(int(src), int(dst), float(-w)) for w, dst in near]
         assert got == wanted
+
+
+def test_superseded_items_are_told_by_whole_texts(spark, monkeypatch):
+    """Texts of one beginning that go apart, and ones that meet after it; sets of a few and of thousands of tokens."""
+    from lodestone.plans import memory
+
+    monkeypatch.setattr(memory, "SET_TOKENS", 5000)
+    r, day = random.Random(8), memory.DAY_MS
+    head = " ".join(f"h{k}" for k in range(60))
+    rest = lambda name, n: " ".join(f"{name}x{k}" for k in range(n))
+    texts = [f"{head} {rest(f'own{k}', 300)}" for k in range(20)] + [f"{rest(f'other{k}', 60)} {rest('same', 300)}" for k in range(20)] + [rest("few", k) for k in range(1, 30)]
+    texts += [rest("long", n) for n in (900, 2100, 2600, 4000)] + [" ".join(r.sample([f"z{k}" for k in range(500)], r.randrange(200, 480))) for _ in range(60)]
+    rows = [(k, t, "", (1 + r.randrange(40)) * day) for k, t in enumerate(texts)]
+    sets = [(k, set(t.split()), at) for k, t, _, at in rows]
+    want = sorted(k for k, a, at in sets if any(u - at >= 7 * day and len(a & b) / len(a | b) >= 0.45 for _, b, u in sets))
+    frame = spark.createDataFrame(rows, "id long, content string, keywords string, updated_at long")
+    assert sorted(x["id"] for x in memory.superseded(frame).collect()) == want and not any(k < 20 for k in want) and any(20 <= k < 40 for k in want)
+    assert any(k < 20 for k in (x["id"] for x in memory.superseded(frame, chars=200).collect()))
