@@ -92,9 +92,12 @@ def settings_read(spark, sf_dir):
 
 @query("SELECT user_id, 'title ' || user_id AS title, substr('said ' || string_agg(event_type, ' ' ORDER BY event_id), 1, 200) AS first FROM events GROUP BY user_id")
 def session_titles(spark, sf_dir):
+    """A record for each user; a file is a list of the records of at most ``_USERS_A_FILE`` users."""
     path = shared_path(spark, "titles")
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), " ")
     cached = td.read(spark, sf_dir, "events").groupBy("user_id").agg(F.concat(F.lit("said  "), said).alias("said"))
     row = F.struct(F.struct(F.struct(F.concat(F.lit("title "), "user_id").alias("val")).alias("title"), F.struct(F.struct(F.struct(F.col("said").alias("text")).alias("first")).alias("val")).alias("titleInput")).alias("rows"))
-    cached.select(F.to_json(F.struct(row.alias("record"))).alias("value"), F.col("user_id").alias("part")).write.partitionBy("part").text(path)
-    return tables.session_titles(spark, path).select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("user_id"), "title", "first")
+    docs = cached.select("user_id", F.to_json(F.struct(F.col("user_id").cast("string").alias("sid"), row.alias("record"))).alias("value"))
+    files = docs.groupBy(F.floor(F.col("user_id") / _USERS_A_FILE).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    files.select("value", "part").write.partitionBy("part").text(path)
+    return tables.session_titles(spark, path).select(F.col("sid").cast("long").alias("user_id"), "title", "first")

@@ -117,6 +117,9 @@ def untouched(values: Column) -> Column:
 
 
 def session_titles(spark: SparkSession, path: str) -> DataFrame:
-    """(path, title, first): titles and first sentences, 200 characters at most, of a projection cache."""
-    docs = spark.read.schema("record struct<rows: struct<title: struct<val: string>, titleInput: struct<val: struct<first: struct<text: string>>>>>").option("multiLine", "true").json(path)
-    return docs.select(F.col("_metadata.file_path").alias("path"), tx.text(F.col("record.rows.title.val")).alias("title"), F.substring(tx.collapse(F.col("record.rows.titleInput.val.first.text")), 1, 200).alias("first"))
+    """(path, sid, title, first): titles and first sentences, 200 characters at most, of a projection cache.
+
+    A file is one session's record, whose name is the file's, or a list of records, each with its session's ``sid``.
+    """
+    docs = spark.read.schema("sid string, record struct<rows: struct<title: struct<val: string>, titleInput: struct<val: struct<first: struct<text: string>>>>>").option("multiLine", "true").json(path)
+    return docs.select(F.col("_metadata.file_path").alias("path"), "sid", tx.text(F.col("record.rows.title.val")).alias("title"), F.substring(tx.collapse(F.col("record.rows.titleInput.val.first.text")), 1, 200).alias("first"))

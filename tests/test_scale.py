@@ -169,3 +169,19 @@ def test_superseded_items_are_told_by_whole_texts(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "id long, content string, keywords string, updated_at long")
     assert sorted(x["id"] for x in memory.superseded(frame).collect()) == want and not any(k < 20 for k in want) and any(20 <= k < 40 for k in want)
     assert any(k < 20 for k in (x["id"] for x in memory.superseded(frame, chars=200).collect()))
+
+
+def test_titles_share_files(spark, tmp_path, monkeypatch):
+    from lodestone.plans import catalogue_sources
+    from lodestone.sources import tables
+
+    rows = [(u, t, k) for u in range(600) for k, t in enumerate(("view", "click", "view"))]
+    spark.createDataFrame(rows, "user_id long, event_type string, event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(catalogue_sources, "shared_path", lambda spark, name: f"{tmp_path}/{name}")
+    got = sorted(tuple(r) for r in entry.queries()["session_titles"](spark, str(tmp_path)).collect())
+    assert got == [(u, f"title {u}", "said view click view") for u in range(600)]
+    assert len(list(tmp_path.glob("titles/part=*/*.txt"))) == 3
+    (tmp_path / "own").mkdir()
+    (tmp_path / "own" / "s7.json").write_text('{"record": {"rows": {\n"title": {"val": "t"}}}}')
+    alone = tables.session_titles(spark, str(tmp_path / "own")).collect()
+    assert [(r["path"].endswith("s7.json"), r["sid"], r["title"]) for r in alone] == [(True, None, "t")]
